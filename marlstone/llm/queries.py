@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import terms, tokens
+from marlstone.llm import leaks, spans, terms, tokens
 from marlstone.llm.posts import distinct_posts
 from marlstone.plans.registry import Registry
 from marlstone.session import table, width
@@ -60,3 +60,57 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 def p8_totals(spark: SparkSession, d: str) -> DataFrame:
     """Documents, tokens and distinct ids of the corpus."""
     return tokens.token_totals(p8_ids(spark, d))
+
+
+# ---------------------------------------------------------------- 9: evaluation leaks
+
+#: Words of a text as SQL.
+_WORDS_SQL = r"regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '[\p{Cf}\p{Mn}]+', '', 'g')), '[\p{L}\p{N}]+')"
+_LEAKS_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS_SQL} AS w FROM eval_items),
+dw AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+iw AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.hits_table(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@registry.add("p9_found", _LEAKS_SQL)
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold twelve consecutive words."""
+    return leaks.verbatim_leaks(leaks.template_hits(table(spark, d, "documents"), table(spark, d, "eval_items")))
+
+
+@registry.add("p9_templates")
+def p9_templates(spark: SparkSession, d: str) -> DataFrame:
+    """All template hits, with the number of verbatim and of re-parameterised windows."""
+    return leaks.template_hits(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@registry.add("p9_items")
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with their numbers of documents."""
+    return leaks.leaked_items(_hits(spark, d))
+
+
+# ---------------------------------------------------------------- 10: shared spans
+
+
+@registry.add("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents with a stretch of 400 characters in common."""
+    return spans.shared_pairs(table(spark, d, "documents"))
+
+
+@registry.add("p10_shares")
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each document's text that occurs in other documents too."""
+    return spans.shared_share(table(spark, d, "documents"))
+
+
+@registry.add("p10_spans")
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Maximal shared spans, once for each class of equal texts."""
+    return spans.shared_stretches(table(spark, d, "documents"))
