@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import leaks, spans, terms, tokens
+from marlstone.llm import leaks, similar, spans, terms, tokens
 from marlstone.llm.posts import distinct_posts
 from marlstone.plans.registry import Registry
-from marlstone.session import table, width
+from marlstone.session import cut, table, width
 
 registry = Registry()
 
@@ -22,6 +22,22 @@ def _posts(spark: SparkSession, d: str) -> DataFrame:
     return distinct_posts(table(spark, d, "submissions"))
 
 
+# ---------------------------------------------------------------- 2: similarity groups
+
+
+@registry.add("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Group number of every id whose vector lies in a group."""
+    members = cut(similar.similarity_groups(table(spark, d, "reddit_data")), "members")
+    return members.join(similar.named_groups(members), "grp").select("id", "cluster")
+
+
+@registry.add("p2_groups")
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical members of each group."""
+    return similar.typical_members(cut(similar.similarity_groups(table(spark, d, "reddit_data")), "members"))
+
+
 # ---------------------------------------------------------------- 5: distinctive terms
 
 _TERMS_SQL = f"""WITH {POSTS_SQL},
