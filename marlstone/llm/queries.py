@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import leaks, similar, spans, terms, tokens
+from marlstone.llm import language, leaks, similar, spans, terms, tokens
 from marlstone.llm.posts import distinct_posts
 from marlstone.plans.registry import Registry
 from marlstone.session import cut, table, width
@@ -130,3 +130,31 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 def p10_spans(spark: SparkSession, d: str) -> DataFrame:
     """Maximal shared spans, once for each class of equal texts."""
     return spans.shared_stretches(table(spark, d, "documents"))
+
+
+# ---------------------------------------------------------------- 6: languages
+
+
+def _segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    posts = cut(_posts(spark, d), "posts")
+    labels = cut(language.latest_labels(table(spark, d, "language_labels")), "labels")
+    model = language.fit_languages(posts, labels)
+    return language.language_segments(posts.repartition(width(spark)), model), labels
+
+
+@registry.add("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of whole sentences of a post that its label does not name."""
+    return language.unlabelled_languages(*_segments(spark, d))
+
+
+@registry.add("p6_segments")
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every post with its language and confidence."""
+    return _segments(spark, d)[0]
+
+
+@registry.add("p6_posts")
+def p6_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Main language of every post."""
+    return language.post_languages(_segments(spark, d)[0])
