@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, leaks, similar, spans, terms, tokens
+from marlstone.llm import language, leaks, personal, similar, spans, terms, tokens
 from marlstone.llm.posts import distinct_posts
 from marlstone.plans.registry import Registry
 from marlstone.session import cut, table, width
@@ -158,3 +158,24 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
 def p6_posts(spark: SparkSession, d: str) -> DataFrame:
     """Main language of every post."""
     return language.post_languages(_segments(spark, d)[0])
+
+
+# ---------------------------------------------------------------- 3: personal information
+
+
+def _personal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    posts = cut(_posts(spark, d).repartition(width(spark)), "posts")
+    return posts, personal.personal_spans(posts)
+
+
+@registry.add("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence of personal information with its kind and place."""
+    return _personal(spark, d)[1].select("id", "field_name", "kind", "start_pos")
+
+
+@registry.add("p3_masked")
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Posts with typed placeholders instead of personal information."""
+    posts, spans = _personal(spark, d)
+    return personal.masked_posts(posts, cut(spans, "pii_spans"))
