@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, leaks, personal, similar, spans, terms, tokens
+from marlstone.llm import abuse, language, leaks, personal, similar, spans, terms, tokens
 from marlstone.llm.posts import distinct_posts
+from marlstone.operators.skew import community_key
 from marlstone.plans.registry import Registry
 from marlstone.session import cut, table, width
 
@@ -179,3 +180,32 @@ def p3_masked(spark: SparkSession, d: str) -> DataFrame:
     """Posts with typed placeholders instead of personal information."""
     posts, spans = _personal(spark, d)
     return personal.masked_posts(posts, cut(spans, "pii_spans"))
+
+
+# ---------------------------------------------------------------- 7: abusive content
+
+
+def _content(spark: SparkSession, d: str) -> DataFrame:
+    posts = cut(_posts(spark, d).join(language.latest_labels(table(spark, d, "language_labels")), "id", "left").repartition(width(spark)), "posts")
+    labelled = abuse.labelled_posts(posts, table(spark, d, "review_labels")).join(posts.select("id", "label"), "id", "left").orderBy("id").collect()
+    model = abuse.fit_classifier([(r["title"], r["selftext"], r["verdicts"]) for r in labelled], [r["label"] or "" for r in labelled])
+    return abuse.content_scores(posts, model, "label")
+
+
+@registry.add("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Posts and the kinds of abusive content in them."""
+    return abuse.found_kinds(_content(spark, d))
+
+
+@registry.add("p7_scores")
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of every post."""
+    return _content(spark, d)
+
+
+@registry.add("p7_rates")
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of each subreddit."""
+    sources = table(spark, d, "submissions").select("id", community_key(F.col("subreddit")).alias("source"))
+    return abuse.source_rates(cut(_content(spark, d), "scores"), sources)
