@@ -45,7 +45,7 @@ STARTERS = "there what why how when where who if is are was were do does did has
 # ---- end of fixed values
 
 _U, _L = "A-ZÀ-ÖØ-ÞĀŁŚŠŽČĆĐ", "a-zß-öø-ÿāłńśšžčćđęążźő"
-_CAP = rf"[{_U}](?:[{_L}]+|['’][{_U}][{_L}]+)(?:['’\-]?[{_U}]?[{_L}]+)*"
+_CAP = rf"[{_U}](?:[{_L}]+|['’][{_U}][{_L}]+)(?:['’\-][{_U}]?[{_L}]+|[{_U}][{_L}]+)*"
 _ALL = rf"[{_U}]{{3,}}(?:['’\-][{_U}]{{2,}})*"
 _PART = rf"(?:(?:{'|'.join(PARTICLES)}) ){{1,2}}"
 _INITIAL = rf"[{_U}]\."
@@ -148,6 +148,24 @@ def _name_parts(text: str) -> tuple[str, str]:
     return ("" if given.endswith(".") else given.lower()), family.lower()
 
 
+_DIGITS = re.compile(r"\d+")
+
+
+def _near_digits(text: str) -> list[tuple[int, int]]:
+    """Stretches around the digits of a text that hold any address with such a number whole."""
+    out: list[list[int]] = []
+    for m in _DIGITS.finditer(text):
+        a, b = max(0, m.start() - 60), min(len(text), m.end() + 80)
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    for x in out:
+        while x[1] < len(text) and not text[x[1]].isspace():
+            x[1] += 1
+    return [(a, b) for a, b in out]
+
+
 _NO_NAME = frozenset(ARTICLES) | frozenset(STARTERS)
 _LAST_WORD = re.compile(r"([^\W\d_]+)['’]? ?\Z")
 
@@ -193,7 +211,8 @@ def candidates(text: str) -> list[tuple]:
                 put(*m.span(), "email", True)
                 taken.append(m.span())
     if any(c.isdigit() for c in text):
-        for m in ADDRESS.finditer(text):
+        places = _near_digits(text)
+        for m in (m for a, b in places for m in ADDRESS.finditer(text, a, b)):
             if free(*m.span()):
                 put(*m.span(), "address", True)
                 rest = re.match(rf"[,.]?[ \n](?:(?:Apt|Unit|Flat|Suite)\.? \d+[A-Za-z]?)?,? ?(?:(?:in |à )?\d{{4,5}} {_CAP}|{_CAP},? \d{{4,5}}|\d{{4,5}})?", text[m.end() : m.end() + 60])
@@ -226,7 +245,7 @@ def candidates(text: str) -> list[tuple]:
             elif form in ("code", "groups") and sum(c.isdigit() for c in text[a:b]) >= 6:
                 put(a, b, "number", False)
                 taken.append((a, b))
-        for m in LOOSE_ADDRESS.finditer(text):
+        for m in (m for a, b in places for m in LOOSE_ADDRESS.finditer(text, a, b)):
             if free(*m.span()):
                 put(*m.span(), "place", False)
     sure += [(c[0], c[1]) for c in out if c[3]]
