@@ -12,12 +12,12 @@ to each sentence. Null and blank texts have no segment. Texts without any letter
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +47,9 @@ BOUND = 3.0
 #: Least confidence of a sentence's language.
 SURE = 0.85
 
-_WORD = regex.compile(r"\p{L}+(?:['’\-]\p{L}+)*")
-_SENTENCE = regex.compile(r"[^\n\r]*?(?:[.!?…]+[\"'”’»)\]]*(?=\s|\Z)|(?=[\n\r])|\Z)")
-_SKIP = regex.compile(r"https?://\S+|\S+@\S+|&[a-z]+;|\[([^\]]*)\]\([^)\s]*\)")
+_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_BREAK = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|\Z)|[\n\r]+")
+_SKIP = re.compile(r"https?://\S+|\S+@\S+|&[a-z]+;|\]\([^)\s]*\)")
 
 
 def language_code(label: Column) -> Column:
@@ -67,12 +67,18 @@ def latest_labels(labels: DataFrame) -> DataFrame:
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
     """Offsets of the sentences of a text; a line break ends one too."""
-    for m in _SENTENCE.finditer(text):
-        a, b = m.span()
-        while a < b and text[a].isspace():
+    a, n = 0, len(text)
+    for m in _BREAK.finditer(text):
+        while a < n and text[a].isspace():
             a += 1
+        b = m.start() if text[m.start()] in "\n\r" else m.end()
         if a < b:
             yield a, b
+        a = m.end()
+    while a < n and text[a].isspace():
+        a += 1
+    if a < n:
+        yield a, n
 
 
 def words(sentence: str) -> list[str]:
@@ -94,25 +100,32 @@ class LanguageModel:
             for g in set(ngrams(w)):
                 grams[g] += np.sqrt(c)
         floor = 0.5 / total.max()
-        self.known = {w: self._centred(share[w], floor) for w, c in counts.items() if c.sum() >= KNOWN}
         mass = np.sum(list(grams.values()), axis=0) + 1e-9 if grams else np.ones(len(LANGUAGES))
         self.grams = {g: self._centred(v / mass, 1e-6) for g, v in grams.items()}
-        self.unseen: dict[str, np.ndarray] = {}
+        known = [w for w, c in counts.items() if c.sum() >= KNOWN]
+        self.fixed = len(known)
+        self.index = {w: i for i, w in enumerate(known)}
+        self.table = np.array([self._centred(share[w], floor) for w in known], np.float32).reshape(-1, len(LANGUAGES))
 
     @staticmethod
     def _centred(x: np.ndarray, floor: float) -> np.ndarray:
         y = np.log(x + floor)
         return np.clip(y - y.mean(), -BOUND, BOUND).astype(np.float32)
 
-    def word(self, w: str) -> np.ndarray:
-        got = self.known.get(w)
-        if got is None:
-            got = self.unseen.get(w)
-            if got is None:
-                if len(self.unseen) > 300_000:
-                    self.unseen.clear()
-                got = self.unseen[w] = self._backoff(w)
-        return got
+    def rows(self, ws: list[str]) -> list[int]:
+        """Rows of the table for words; unseen words get a row by backoff, up to a bound at a time."""
+        get = self.index.get
+        out = [get(w, -1) for w in ws]
+        if -1 in out:
+            new = sorted({w for w, i in zip(ws, out) if i < 0})
+            if len(self.index) + len(new) > self.fixed + 400_000:
+                self.index = {w: i for w, i in self.index.items() if i < self.fixed}
+                self.table = self.table[: self.fixed]
+                return self.rows(ws)
+            self.index |= {w: len(self.table) + k for k, w in enumerate(new)}
+            self.table = np.concatenate([self.table, np.array([self._backoff(w) for w in new], np.float32).reshape(-1, len(LANGUAGES))])
+            out = [self.index[w] for w in ws]
+        return out
 
     def _backoff(self, w: str) -> np.ndarray:
         padded = f"^{w[:60]}$"
@@ -122,38 +135,64 @@ class LanguageModel:
                 return (BACKOFF_WEIGHT * np.mean(found, axis=0)).astype(np.float32)
         return np.zeros(len(LANGUAGES), np.float32)
 
-    def score(self, ws: list[str]) -> tuple[int, float]:
-        """Best language and its confidence: the softmax of thrice the mean score of the words."""
-        known, word = self.known, self.word
-        rows = [known[w] if w in known else word(w) for w in ws]
-        mean = np.add.reduce(rows) * (3.0 / len(rows))
-        best = int(mean.argmax())
-        return best, 1.0 / float(np.exp(mean - mean[best]).sum())
+    def score_many(self, sentences: list[list[str]]) -> tuple[list[int], list[float]]:
+        """Best language of each list of words, and its confidence: the softmax of thrice the mean word score."""
+        sizes = np.array([len(ws) for ws in sentences], np.int64)
+        if not len(sizes):
+            return [], []
+        flat = self.rows([w for ws in sentences for w in ws])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mean = np.add.reduceat(self.table[flat], starts, axis=0) * (3.0 / sizes)[:, None]
+        best = mean.argmax(1)
+        top = mean[np.arange(len(best)), best]
+        return best.tolist(), (1.0 / np.exp(mean - top[:, None]).sum(1)).tolist()
 
     def segments(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
         """(start, end, language, confidence, words of its longest whole sentence) of each segment."""
-        if not text:
-            return []
+        return self.segments_many([text])[0]
+
+    def segments_many(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float, int]]]:
+        """``segments`` of many texts, scored together."""
+        spans: list[list[tuple[int, int, int]]] = []
+        asked: list[list[str]] = []
+        for text in texts:
+            own = []
+            for a, b in sentences(text) if text else ():
+                ws = words(text[a:b])
+                if len(ws) >= WHOLE:
+                    own.append((a, b, len(asked)))
+                    asked.append(ws)
+                else:
+                    own.append((a, b, -1))
+            if own and all(k < 0 for _, _, k in own) and (ws := words(text)):
+                own = [(0, len(text), len(asked))]
+                asked.append(ws)
+            spans.append(own)
+        best, sure = self.score_many(asked)
+        return [self._joined(text, own, asked, best, sure) for text, own in zip(texts, spans)]
+
+    def _joined(self, text: str | None, own: list[tuple[int, int, int]], asked: list[list[str]], best: list[int], sure: list[float]) -> list[tuple[int, int, str, float, int]]:
+        """Segments of a text from its scored sentences; short and unsure ones go with what is before them."""
         out: list[list] = []
-        loose = None  # start of sentences at the beginning that are too short or unsure
-        for a, b in sentences(text):
-            ws = words(text[a:b])
-            if len(ws) >= WHOLE:
-                lang, sure = self.score(ws)
-                if sure >= SURE:
-                    if out and out[-1][2] == lang:
-                        out[-1][1], out[-1][3], out[-1][5] = b, out[-1][3] + sure * len(ws), out[-1][5] + len(ws)
-                        out[-1][4] = max(out[-1][4], len(ws))
-                    else:
-                        out.append([a if out or loose is None else loose, b, lang, sure * len(ws), len(ws), len(ws)])
-                    continue
+        loose = guess = None
+        for a, b, k in own:
+            n = len(asked[k]) if k >= 0 else 0
+            if n >= WHOLE and sure[k] >= SURE:
+                lang = best[k]
+                if out and out[-1][2] == lang:
+                    last = out[-1]
+                    last[1], last[3], last[4], last[5] = b, last[3] + sure[k] * n, max(last[4], n), last[5] + n
+                else:
+                    out.append([a if out or loose is None else loose, b, lang, sure[k] * n, n, n])
+                continue
+            if k >= 0 and guess is None:
+                guess = k
             if out:
                 out[-1][1] = b
             elif loose is None:
                 loose = a
-        if not out and (ws := words(text)):
-            lang, sure = self.score(ws)
-            return [(0, len(text), LANGUAGES[lang], round(sure, 4), 0)]
+        if not out and guess is not None:
+            return [(0, len(text or ""), LANGUAGES[best[guess]], round(sure[guess], 4), 0)]
         return [(a, b, LANGUAGES[lang], round(total / n, 4), longest) for a, b, lang, total, longest, n in out]
 
 
@@ -171,6 +210,7 @@ def _count_words(model_of, by_label: bool):
         model = None if by_label else model_of()
         for batch in batches:
             counts: dict[str, Counter] = defaultdict(Counter)
+            asked: list[list[str]] = []
             for label, *texts in zip(batch["label"], batch["title"], batch["selftext"]):
                 for text in texts:
                     for a, b in sentences(text) if text else ():
@@ -178,9 +218,11 @@ def _count_words(model_of, by_label: bool):
                         if by_label:
                             counts[label].update(ws)
                         elif len(ws) >= WHOLE:
-                            lang, sure = model.score(ws)
-                            if sure >= SURE:
-                                counts[LANGUAGES[lang]].update(ws)
+                            asked.append(ws)
+            if not by_label:
+                for ws, lang, sure in zip(asked, *model.score_many(asked)):
+                    if sure >= SURE:
+                        counts[LANGUAGES[lang]].update(ws)
             yield pd.DataFrame([(w, lang, n) for lang, c in counts.items() for w, n in c.items()], columns=["word", "lang", "n"])
 
     return run
@@ -219,10 +261,11 @@ def language_segments(posts: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
+            keys = batch["id"].tolist()
             rows = []
-            for key, title, body in zip(batch["id"], batch["title"], batch["selftext"]):
-                rows += [(key, "title", *s) for s in model.segments(title)]
-                rows += [(key, "selftext", *s) for s in model.segments(body)]
+            for name in ("title", "selftext"):
+                for key, found in zip(keys, model.segments_many(batch[name].tolist())):
+                    rows += [(key, name, *s) for s in found]
             yield pd.DataFrame(rows, columns=["id", "field_name", "start_pos", "end_pos", "lang", "confidence", "longest"])
 
     ddl = "id string, field_name string, start_pos long, end_pos long, lang string, confidence double, longest int"

@@ -251,6 +251,8 @@ def candidates(text: str) -> list[tuple]:
     sure += [(c[0], c[1]) for c in out if c[3]]
     for m in TITLED.finditer(text):
         a = m.start() + _TITLE.match(m[0]).end()  # type: ignore[union-attr]
+        if m[0].startswith("M. ") and re.search(rf"[{_U}][{_L}]+ \Z", text[max(0, m.start() - 30) : m.start()]):
+            continue  # a middle initial
         if free(a, m.end()):
             context = _around(text[: m.start()] + text[a:], m.start(), m.start() + m.end() - a)
             out.append((a, m.end(), "name", True, False, False, False, *_name_parts(text[a : m.end()]), context))
