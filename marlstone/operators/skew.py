@@ -150,9 +150,10 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, spread_by: list[s
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
     plan = plan_shards(left.select(key), key, tasks)
-    clash = (set(left.columns) & set(right.columns)) - {key}
-    for c in clash:
-        right = right.withColumnRenamed(c, f"right_{c}")
+    taken = {c.lower() for c in left.columns} - {key.lower()}
+    for c in right.columns:
+        if c.lower() in taken:
+            right = right.withColumnRenamed(c, f"right_{c}")
     fragments = route(left, key, plan, spread_by)
     copies = right.withColumn("_fr_shard", F.explode(F.sequence(F.lit(0), plan.shards(F.col(key)) - 1)))
     copies = copies.withColumn("_fr_task", plan.task(F.col(key), F.col("_fr_shard"))).repartitionById(plan.tasks, F.col("_fr_task"))

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_registries() -> list:
-    from marlstone.plans import records
+    from marlstone.plans import posts, records, topics
 
-    return [records.registry]
+    return [records.registry, posts.registry, topics.registry]

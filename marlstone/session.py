@@ -66,3 +66,11 @@ def release(spark: SparkSession) -> None:
 def width(spark: SparkSession) -> int:
     """Number of tasks that a Python-heavy stage should be split into."""
     return max(MIN_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers find this package wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, environment.get("PYTHONPATH", "")) if x)
