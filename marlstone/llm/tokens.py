@@ -196,6 +196,6 @@ def token_totals(encoded: DataFrame) -> DataFrame:
 
     sizes = encoded.groupBy().agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_tokens"))
     kinds = encoded.select(F.explode("ids").alias("i")).groupBy("i").count().groupBy().agg(F.count(F.lit(1)).alias("n_ids"))
-    return sizes.crossJoin(F.broadcast(kinds))
+    return sizes.join(F.broadcast(kinds))  # one row each
 
 
