@@ -54,6 +54,8 @@ def _normal(chunk: str) -> list[str]:
                 w = w.strip("!").translate(LOOKALIKES)
             elif w.isdigit():
                 w = "0"
+            elif not letters:
+                continue
         out.append(_LONG.sub(r"\1\1", w).replace("’", "'"))
     if chunk[-1:] in ".!?…":
         out.append(".")
@@ -212,7 +214,7 @@ def labelled_posts(posts: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -
     judged = labels.filter(F.col("verdict").isin("ok", *KINDS) & F.col("id").isNotNull()).groupBy("id").agg(F.sort_array(F.collect_list("verdict")).alias("verdicts"))
     share = min(1.0, bound / max(1, judged.count()))
     chosen = judged.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < round(share * 1_000_000))
-    return posts.join(chosen, "id").select("id", "title", "selftext", "verdicts")
+    return posts.select("id", "title", "selftext").join(chosen, "id")
 
 
 def fit_classifier(rows: list[tuple], languages: list[str] | None = None) -> Classifier:

@@ -244,7 +244,7 @@ def fit_languages(posts: DataFrame, labels: DataFrame, fit_posts: int = FIT_POST
     usable = labels.filter(F.col("label").isin(*LANGUAGES))
     share = min(1.0, fit_posts / max(1, usable.count()))
     chosen = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
-    sample = posts.join(chosen, "id").select("label", "title", "selftext")
+    sample = posts.select("id", "title", "selftext").join(chosen.select("id", "label"), "id").select("label", "title", "selftext")
     sample = sample.persist()
     ddl = "word string, lang string, n long"
     first = _collect_model(sample.mapInPandas(_count_words(None, True), ddl))
