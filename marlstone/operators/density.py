@@ -139,7 +139,7 @@ def cluster(df: DataFrame, key: str, vector: str, least: int = 10, samples: int
     n = rows.count()
     share = min(fraction, bound / n) if n else 1.0
     sample = exact_sample(rows, "id", share, seed).collect() if n else []
-    fitted = fit(np.array([r["vec"] for r in sample], np.float64).reshape(len(sample), -1), least, samples)
+    fitted = fit(np.array([r["vec"] for r in sample], np.float64) if sample else np.empty((0, 1)), least, samples)
     shared = df.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
