@@ -138,12 +138,14 @@ def _sums(dim: int):
 
 def group_sums(rows: DataFrame, dim: int = DIM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group numbers, sizes and vector sums of ``grp, vec`` rows; one partial row per group and task."""
-    parts = rows.select("grp", "vec").mapInArrow(_sums(dim), "grp long, n long, total array<double>")
-    whole = parts.select("grp", "n", F.posexplode("total")).groupBy("grp").agg(F.sum(F.when(F.col("pos") == 0, F.col("n"))).alias("n"), F.sort_array(F.collect_list(F.struct("pos", "col"))).alias("s"))
-    got = whole.select("grp", "n", F.expr(f"transform(sequence(0, {dim - 1}), i -> aggregate(filter(s, x -> x.pos = i), cast(0 as double), (a, x) -> a + x.col))").alias("total")).toArrow()
-    if not got.num_rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, dim))
-    return np.asarray(got["grp"]), np.asarray(got["n"]), np.array(got["total"].to_pylist())
+    parts = cut(rows.select("grp", "vec").mapInArrow(_sums(dim), "grp long, n long, total array<double>"), "group_sums")
+    sizes = parts.groupBy("grp").agg(F.sum("n").alias("n")).orderBy("grp").toArrow()
+    cells = parts.select("grp", F.posexplode("total").alias("pos", "x")).groupBy("grp", "pos").agg(F.sum("x").alias("x")).toArrow()
+    grp = np.asarray(sizes["grp"])
+    total = np.zeros((len(grp), dim))
+    if len(grp):
+        total[np.searchsorted(grp, np.asarray(cells["grp"])), np.asarray(cells["pos"])] = np.asarray(cells["x"])
+    return grp, np.asarray(sizes["n"]), total
 
 
 def merge_directions(centers: np.ndarray, sizes: np.ndarray, same: float) -> np.ndarray:
@@ -192,7 +194,9 @@ def candidate_directions(vectors: DataFrame, n: int, dim: int = DIM, grids: int
     # A cell is dense if it holds more than cells hold on average where anything is.
     mean = codes.groupBy("grid", "cell").count().groupBy().agg(F.avg("count").alias("m")).first()["m"]
     parts = dense_components(codes, bits, max(3, math.ceil(mean)))
-    peaks = parts.groupBy("grid", "label").agg(F.max_by("cell", F.struct("n", -F.col("cell"))).alias("cell"))
+    # A component that holds fewer vectors than a group can have is none.
+    whole = parts.groupBy("grid", "label").agg(F.max_by("cell", F.struct("n", -F.col("cell"))).alias("cell"), F.sum("n").alias("size"))
+    peaks = whole.filter(F.col("size") >= LEAST).drop("size")
     members = codes.join(peaks, ["grid", "cell"]).select("id", F.xxhash64("grid", "label").alias("grp"))
     _, sizes, sums = group_sums(members.join(vectors.select("id", "vec"), "id"), dim)
     return merge_directions(sums, sizes, 0.8)
