@@ -81,8 +81,13 @@ ADDRESS = re.compile(
 #: Addresses in small or capital letters, and numbers before capitalised words: their context decides.
 LOOSE_ADDRESS = re.compile(
     rf"{_EDGE}(?i:(?:(?:{_UNIT})\.? \d+[a-z]?, )?\d{{1,5}}[a-z]? (?:[^\W\d_]+\.? ){{1,2}}(?:{_STREET})(?![\w])|(?:{'|'.join(map(re.escape, STREETS_BEFORE))}) (?:de )?[^\W\d_]+,? \d{{1,4}}(?![\w])"
-    rf"|[^\W\d_]+(?:{'|'.join(map(re.escape, STREET_ENDS))}) \d{{1,4}}[a-z]?(?![\w])|\d{{1,4}},? (?:{'|'.join(STREETS_FRENCH)}) [^\W\d_]+)|{_EDGE}\d{{1,5}}[A-Za-z]? {_CAP}(?: {_CAP}){{0,2}}(?=[,\n.])"
+    rf"|[^\W\d_]+(?:{'|'.join(map(re.escape, STREET_ENDS))}) \d{{1,4}}[a-z]?(?![\w])|\d{{1,4}},? (?:{'|'.join(STREETS_FRENCH)}) [^\W\d_]+)"
 )
+NUMBERED_NAME = re.compile(rf"{_EDGE}\d{{1,5}}[A-Za-z]? {_CAP}(?: {_CAP}){{0,2}}(?=[,\n.])")
+#: Stretches without any of these hold no address of a known form.
+_STREET_HINT = re.compile("|".join(re.escape(x) for x in sorted({x.lower() for x in [*STREETS, *STREET_ENDS, *STREETS_BEFORE, *STREETS_FRENCH, *BOXES]}, key=len, reverse=True)))
+#: Texts without this hold no name of two words.
+_NAME_HINT = re.compile(rf"[{_U}][\w.'’\-]*,? (?:(?:{'|'.join(PARTICLES)}) )*[{_U}]")
 TITLED = re.compile(rf"{_EDGE}(?:{'|'.join(FORMS_OF_ADDRESS)})\.? (?:{_CAP} |{_INITIAL} ?)?(?:{_PART})?(?:{_CAP}|{_ALL}){_END}")
 _TITLE = re.compile(rf"(?:{'|'.join(FORMS_OF_ADDRESS)})\.? ")
 FULL = re.compile(rf"{_EDGE}(?:{_CAP}|{_INITIAL})(?: ?{_INITIAL})* (?:{_PART}|(?:{_CAP}|{_INITIAL}) ){{0,2}}{_CAP}{_END}")
@@ -212,16 +217,17 @@ def candidates(text: str) -> list[tuple]:
                 taken.append(m.span())
     if any(c.isdigit() for c in text):
         places = _near_digits(text)
-        for m in (m for a, b in places for m in ADDRESS.finditer(text, a, b)):
+        streets = [(a, b) for a, b in places if _STREET_HINT.search(text[a:b].lower())]
+        for m in (m for a, b in streets for m in ADDRESS.finditer(text, a, b)):
             if free(*m.span()):
                 put(*m.span(), "address", True)
                 rest = re.match(rf"[,.]?[ \n](?:(?:Apt|Unit|Flat|Suite)\.? \d+[A-Za-z]?)?,? ?(?:(?:in |à )?\d{{4,5}} {_CAP}|{_CAP},? \d{{4,5}}|\d{{4,5}})?", text[m.end() : m.end() + 60])
                 taken.append((m.start(), m.end() + (rest.end() if rest else 0)))
-        for m in SPOKEN.finditer(text):
+        for m in (m for a, b in places for m in SPOKEN.finditer(text, a, b)):
             if free(*m.span()) and not m[0].replace(" ", "").isdigit():
                 put(*m.span(), "phone", True)
                 taken.append(m.span())
-        for m in NUMBER.finditer(text):
+        for m in (m for a, b in places for m in NUMBER.finditer(text, a, b)):
             a, b = m.span()
             while text[b - 1] in " (-./:":
                 b -= 1
@@ -245,9 +251,11 @@ def candidates(text: str) -> list[tuple]:
             elif form in ("code", "groups") and sum(c.isdigit() for c in text[a:b]) >= 6:
                 put(a, b, "number", False)
                 taken.append((a, b))
-        for m in (m for a, b in places for m in LOOSE_ADDRESS.finditer(text, a, b)):
-            if free(*m.span()):
+        for m in [*(m for a, b in streets for m in LOOSE_ADDRESS.finditer(text, a, b)), *(m for a, b in places for m in NUMBERED_NAME.finditer(text, a, b))]:
+            if free(*m.span()) and (m.start(), "place") not in {(c[0], c[2]) for c in out}:
                 put(*m.span(), "place", False)
+    if not _NAME_HINT.search(text):
+        return out
     sure += [(c[0], c[1]) for c in out if c[3]]
     for m in TITLED.finditer(text):
         a = m.start() + _TITLE.match(m[0]).end()  # type: ignore[union-attr]
@@ -278,7 +286,7 @@ def candidates(text: str) -> list[tuple]:
 _CANDIDATE = "id string, field_name string, start_pos long, end_pos long, kind string, seed boolean, near boolean, alt boolean, refuted boolean, given string, family string, patterns array<string>"
 _COLUMNS = ["id", "field_name", "start_pos", "end_pos", "kind", "seed", "near", "alt", "refuted", "given", "family", "patterns"]
 #: Texts without any of these hold no candidate.
-_HINT = re.compile(rf"[\d@]|\bat\b|[{_U}][\w.'’\-]*,? (?:(?:{'|'.join(PARTICLES)}) )*[{_U}]")
+_HINT = re.compile(rf"[\d@]|[\[(<{{] ?at ?[\])>}}]| dot |{_NAME_HINT.pattern}")
 
 
 def find_candidates(posts: DataFrame) -> DataFrame:
