@@ -241,8 +241,7 @@ def trustworthiness_k(spark: SparkSession, d: str) -> DataFrame:
     n, k = full.count(), 30
     reduced = cut(reduce.principal_components(full, "id", "vec", 5).withColumnRenamed("reduced", "vec"), "reduced")
     near = cut(neighbours.nearest(reduced, reduced, k), "near")
-    ranks = neighbours.nearest(full, full, n - 1)
-    return neighbours.trustworthiness(ranks, near, n, k).withColumn("trust", F.round("trust", 6))
+    return neighbours.trustworthiness(neighbours.ranks_of(full, near), n, k).withColumn("trust", F.round("trust", 6))
 
 
 @registry.add("pca_reduce")

@@ -92,6 +92,17 @@ def test_neighbours_are_exact(spark, blobs):
     assert all(got[i, k + 1] == np.argsort(d[i])[k] for i in range(50) for k in range(3))
 
 
+def test_trustworthiness_against_brute_force(spark, blobs):
+    x = blobs[0][:80]
+    y, n, k = x[:, :2], 80, 6
+    full, flat = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "id long, vec array<double>") for z in (x, y))
+    got = neighbours.trustworthiness(neighbours.ranks_of(full, neighbours.nearest(flat, flat, k), block=30), n, k).first()["trust"]
+    dx, dy = (np.linalg.norm(z[:, None] - z[None], axis=2) + np.diag(np.full(n, np.inf)) for z in (x, y))
+    rank = dx.argsort(1).argsort(1) + 1
+    excess = sum(max(0, rank[i, j] - k) for i in range(n) for j in dy[i].argsort()[:k])
+    assert got == pytest.approx(1 - 2 / (n * k * (2 * n - 3 * k - 1)) * excess)
+
+
 def test_reductions(spark, blobs):
     x, truth = blobs
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
