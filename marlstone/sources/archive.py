@@ -42,7 +42,8 @@ def validated(lines: DataFrame, line: str = "value") -> DataFrame:
     A line is valid if it is a JSON object with every key, of the right kind; null only where
     allowed. ``media`` becomes whether it is there. Nothing is valid in null or empty lines.
     """
-    parsed = lines.withColumn("_r", F.try_parse_json(F.col(line)))
+    # The generator parses each line once; as a plain column it would be parsed for every field.
+    parsed = lines.select("*", F.explode(F.array(F.try_parse_json(F.col(line)))).alias("_r"))
     is_object = F.coalesce(F.schema_of_variant("_r").startswith("OBJECT"), F.lit(False))
     ok, columns = is_object, []
     for name, (nullable, kind) in FIELDS.items():
@@ -78,8 +79,8 @@ def statistics(lines: DataFrame, line: str, file_name: str) -> DataFrame:
     A missing key gives -1 (numbers) or the empty text; an explicit null stays null. A post with
     media counts its title only.
     """
-    r = F.try_parse_json(F.col(line))
-    rows = lines.withColumn("_r", r).filter(F.coalesce(F.schema_of_variant("_r").startswith("OBJECT"), F.lit(False)))
+    parsed = lines.select("*", F.explode(F.array(F.try_parse_json(F.col(line)))).alias("_r"))
+    rows = parsed.filter(F.coalesce(F.schema_of_variant("_r").startswith("OBJECT"), F.lit(False)))
 
     def number(name: str) -> Column:
         v = _field(F.col("_r"), name)
