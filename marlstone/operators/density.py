@@ -1,8 +1,10 @@
-"""Density clustering of reduced vectors: fit on a bounded sample, predict for all rows.
+"""Density clustering of reduced vectors: fit on all rows or a share of them, predict for the others.
 
 The fit follows Campello et al. (2013): core distances, mutual reachability, a minimum spanning
-tree, a condensed tree by least cluster size, and selection by excess of mass. All other rows take
-the label of the nearest fitted point, or noise beyond the reach at which its cluster was born.
+tree, a condensed tree by least cluster size, and selection by excess of mass. Distances and tree
+are exact: points are kept in the boxes of a k-d tree, and boxes too far off to matter are skipped.
+All other rows take the label of the nearest fitted point, or noise beyond the reach at which its
+cluster was born.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.sampling import exact_sample, order_key
+from marlstone.functions.sampling import exact_sample
 
-#: Rows of a fit, at most: its matrix of distances stays below 200 MB.
-FIT_ROWS = 5_000
+#: Points of a box, at most; nearest points remembered of each point; boxes looked into at once.
+BOX, NEAR, STEP = 64, 16, 8
 
 
 @dataclass
@@ -30,19 +32,132 @@ class Fit:
     edges: np.ndarray
 
 
-def spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Edges (a, b, distance) of the minimum spanning tree under mutual reachability, row by row."""
+class Boxes:
+    """Points in the boxes of a k-d tree: their row numbers by box, and the boxes' lower and upper ends."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.rows: list[np.ndarray] = []
+        stack = [np.arange(len(x))] if len(x) else []
+        while stack:
+            rows = stack.pop()
+            if len(rows) <= BOX:
+                self.rows.append(np.sort(rows))
+                continue
+            part = x[rows]
+            along, half = int((part.max(0) - part.min(0)).argmax()), len(rows) // 2
+            order = np.argpartition(part[:, along], half)
+            stack += [rows[order[half:]], rows[order[:half]]]
+        self.low = np.array([x[r].min(0) for r in self.rows])
+        self.high = np.array([x[r].max(0) for r in self.rows])
+
+    def gaps(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Distance from a box to each of these, a little less than it is so that rounding leaves none out."""
+        gap = np.maximum(np.maximum(self.low - high, low - self.high), 0)
+        return np.sqrt((gap * gap).sum(1)) * (1 - 1e-9)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        d = a[:, i, None] - b[None, :, i]
+        out += d * d
+    return np.sqrt(out)
+
+
+def nearest_points(q: np.ndarray, x: np.ndarray, k: int, core: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distances, ascending, and row numbers of the ``k`` nearest of ``x`` to each of ``q``; no distance is under ``core``."""
+    boxes, own = Boxes(x), Boxes(q)
+    far, near = np.empty((len(q), k)), np.empty((len(q), k), np.int64)
+    for rows, low, high in zip(own.rows, own.low, own.high):
+        gaps = boxes.gaps(low, high)
+        bound, some = np.inf, np.argsort(gaps, kind="stable")[: STEP + k // BOX]
+        while True:
+            at = np.sort(np.concatenate([boxes.rows[i] for i in some]))
+            d = _distances(q[rows], x[at])
+            if core is not None:
+                d = np.maximum(d, core[at])
+            best = d.argmin(1)[:, None] if k == 1 else np.argpartition(d, k - 1, axis=1)[:, :k]
+            value = np.take_along_axis(d, best, 1)
+            if np.isfinite(bound):
+                break
+            bound = value.max()
+            wider = np.flatnonzero(gaps <= bound)
+            if np.isin(wider, some).all():
+                break
+            some = np.union1d(wider, some)
+        order = np.argsort(value, axis=1, kind="stable")
+        far[rows], near[rows] = np.take_along_axis(value, order, 1), at[np.take_along_axis(best, order, 1)]
+    return far, near
+
+
+def spanning_tree(x: np.ndarray, core: np.ndarray, lists: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Edges (a, b, distance) of the minimum spanning tree under mutual reachability.
+
+    Boruvka's rounds: each component takes its shortest edge to another one. ``lists`` are the
+    nearest points of each point; boxes are searched only where those leave a shorter edge possible.
+    """
     n = len(x)
-    best, parent, inside = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool)
-    at, out = 0, np.empty((max(0, n - 1), 3))
-    for i in range(n - 1):
-        inside[at] = True
-        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core), core[at])
-        closer = (d < best) & ~inside
-        best[closer], parent[closer] = d[closer], at
-        at = int(np.where(inside, np.inf, best).argmin())
-        out[i] = parent[at], at, best[at]
-    return out
+    if n < 2:
+        return np.empty((0, 3))
+    far, near = lists or nearest_points(x, x, min(n, NEAR))
+    boxes = Boxes(x)
+    least_core = np.array([core[r].min() for r in boxes.rows])
+    a, b = np.repeat(np.arange(n), near.shape[1]), near.ravel()
+    known = np.maximum(np.maximum(far.ravel(), core[a]), core[b])
+    comp, out = np.arange(n), []
+    while True:
+        k = int(comp.max()) + 1
+        if k == 1:
+            return np.array(out).reshape(-1, 3)
+        apart = comp[a] != comp[b]
+        a, b, known = a[apart], b[apart], known[apart]
+        bound, ends = np.full(k, np.inf), np.full((k, 2), -1)
+        order = np.argsort(known, kind="stable")
+        first, at = np.unique(comp[a[order]], return_index=True)
+        pick = order[at]
+        bound[first], ends[first] = known[pick], np.stack([a[pick], b[pick]], 1)
+        lowest = np.maximum(far[:, -1], core)
+        sole = np.array([comp[r[0]] if (comp[r] == comp[r[0]]).all() else -1 for r in boxes.rows])
+        for rows, own, low, high in zip(boxes.rows, sole, boxes.low, boxes.high):
+            rows = rows[lowest[rows] < bound[comp[rows]]]
+            if not len(rows):
+                continue
+            floor = np.maximum(boxes.gaps(x[rows].min(0), x[rows].max(0)), least_core)
+            floor[(sole == own) & (own >= 0)] = np.inf
+            wanted = np.flatnonzero(floor < bound[comp[rows]].max())
+            wanted = wanted[np.argsort(floor[wanted], kind="stable")]
+            for s in range(0, len(wanted), STEP):
+                some = wanted[s : s + STEP]
+                rows = rows[lowest[rows] < bound[comp[rows]]]
+                if not len(rows) or floor[some[0]] >= bound[comp[rows]].max():
+                    break
+                to = np.concatenate([boxes.rows[i] for i in some])
+                to = to[core[to] < bound[comp[rows]].max()]
+                if not len(to):
+                    continue
+                d = np.maximum(np.maximum(_distances(x[rows], x[to]), core[rows][:, None]), core[to])
+                d[comp[rows][:, None] == comp[to]] = np.inf
+                best = d.argmin(1)
+                value = d[np.arange(len(rows)), best]
+                for i in np.flatnonzero(value < bound[comp[rows]]):
+                    c = comp[rows[i]]
+                    if value[i] < bound[c]:
+                        bound[c], ends[c] = value[i], (rows[i], to[best[i]])
+        root = np.arange(k)
+
+        def find(i: int, root: np.ndarray = root) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for c in np.argsort(bound, kind="stable"):
+            i, j = ends[c]
+            ra, rb = find(comp[i]), find(comp[j])
+            if ra != rb:
+                root[rb] = ra
+                out.append((i, j, bound[c]))
+        comp = np.unique(np.array([find(i) for i in range(k)]), return_inverse=True)[1][comp]
 
 
 def fit(x: np.ndarray, least: int, samples: int) -> Fit:
@@ -51,10 +166,9 @@ def fit(x: np.ndarray, least: int, samples: int) -> Fit:
     if n < 2:
         return Fit(x, np.full(n, -1), np.zeros(n), np.zeros(n), np.empty((0, 3)))
     k = min(samples, n - 1)
-    core = np.empty(n)
-    for i in range(n):
-        core[i] = np.partition(np.sqrt(((x - x[i]) ** 2).sum(1)), k)[k]
-    edges = spanning_tree(x, core)
+    lists = nearest_points(x, x, min(n, max(NEAR, k + 1)))
+    core = lists[0][:, k].copy()
+    edges = spanning_tree(x, core, lists)
     edges = edges[np.lexsort((edges[:, 1], edges[:, 0], edges[:, 2]))]
     # Single linkage: node n + i joins the sets of edge i.
     root, kids, size, height = list(range(n)), {}, [1] * (2 * n - 1), [0.0] * (2 * n - 1)
@@ -133,63 +247,47 @@ def fit(x: np.ndarray, least: int, samples: int) -> Fit:
     return Fit(x, labels, core, reach, edges)
 
 
-def cluster(df: DataFrame, key: str, vector: str, least: int = 10, samples: int = 5, fraction: float = 1.0, bound: int = FIT_ROWS, seed: str = "42") -> DataFrame:
-    """``id, label`` of every row with a vector: fitted on a sample of at most ``bound`` rows."""
+def predict(f: Fit, x: np.ndarray) -> np.ndarray:
+    """Labels of points that were not fitted."""
+    if not len(f.points) or not len(x):
+        return np.full(len(x), -1)
+    d, near = nearest_points(x, f.points, 1, f.core)
+    j = near[:, 0]
+    return np.where((f.labels[j] >= 0) & (d[:, 0] <= f.reach[j]), f.labels[j], -1)
+
+
+def cluster(df: DataFrame, key: str, vector: str, least: int = 10, samples: int = 5, fraction: float = 1.0, seed: str = "42") -> DataFrame:
+    """``id, label`` of every row with a vector, fitted on ``fraction`` of the rows: all of them by default.
+
+    The rows of the fit are gathered on the driver as numbers, without a bound: about 0.5 kB each with the tree.
+    """
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vec")).filter(F.col("vec").isNotNull() & F.col("id").isNotNull())
-    n = rows.count()
-    share = min(fraction, bound / n) if n else 1.0
-    sample = exact_sample(rows, "id", share, seed).collect() if n else []
-    fitted = fit(np.array([r["vec"] for r in sample], np.float64) if sample else np.empty((0, 1)), least, samples)
-    shared = df.sparkSession.sparkContext.broadcast(fitted)
+    sample = (rows if fraction >= 1 else exact_sample(rows, "id", fraction, seed)).select("id", F.col("vec").cast("array<double>").alias("vec")).orderBy("id").toArrow()
+    x = np.asarray(sample["vec"].combine_chunks().flatten(), np.float64).reshape(len(sample), -1) if len(sample) else np.empty((0, 1))
+    fitted = fit(x, least, samples)
+    shared = df.sparkSession.sparkContext.broadcast((fitted if fraction < 1 else None, pd.Series(fitted.labels, sample["id"].to_pandas())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = shared.value
+        f, known = shared.value
         for pdf in batches:
-            out = np.full(len(pdf), -1)
-            if len(f.points) and len(pdf):
-                x = np.array(pdf["vec"].tolist(), np.float64)
-                for i in range(len(x)):
-                    d = np.maximum(np.sqrt(((f.points - x[i]) ** 2).sum(1)), f.core)
-                    j = int(d.argmin())
-                    out[i] = f.labels[j] if f.labels[j] >= 0 and d[j] <= f.reach[j] else -1
-            yield pd.DataFrame({"id": pdf["id"], "label": out})
+            out = pdf["id"].map(known)
+            rest = out.isna()
+            if rest.any():
+                out[rest] = predict(f, np.array(pdf["vec"][rest].tolist(), np.float64))
+            yield pd.DataFrame({"id": pdf["id"], "label": out.astype(int)})
 
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, label int")
 
 
-def subclusters(df: DataFrame, key: str, cluster_col: str, vector: str, least: int = 5, samples: int = 3, bound: int = 1_000, seed: str = "42") -> DataFrame:
-    """``cluster, id, sub`` within each cluster except noise.
-
-    Each cluster is fitted on at most ``bound`` rows (first by hash), so a large cluster is never
-    gathered; its other rows are predicted where they are, with the fits joined by cluster.
-    """
-    from pyspark.sql import Window
-
+def subclusters(df: DataFrame, key: str, cluster_col: str, vector: str, least: int = 5, samples: int = 3) -> DataFrame:
+    """``cluster, id, sub`` within each cluster except noise, each fitted on all its rows in one task."""
     rows = df.select(F.col(cluster_col).cast("int").alias("cluster"), F.col(key).alias("id"), F.col(vector).alias("vec")).filter("cluster >= 0 and vec is not null")
-    w = Window.partitionBy("cluster").orderBy(order_key(seed, F.col("id").cast("string")), "id")
-    sample = rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= bound)
 
-    def fits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = fit(np.array(pdf.sort_values("_k")["vec"].tolist(), np.float64), least, samples)
-        points = [{"v": p.tolist(), "l": int(a), "c": float(c), "r": float(min(r, 1e300))} for p, a, c, r in zip(f.points, f.labels, f.core, f.reach)]
-        return pd.DataFrame({"cluster": [int(key[0])], "model": [points]})
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        return pd.DataFrame({"cluster": pdf["cluster"], "id": pdf["id"], "sub": fit(np.array(pdf["vec"].tolist(), np.float64), least, samples).labels})
 
-    models = sample.groupBy("cluster").applyInPandas(fits, "cluster int, model array<struct<v:array<double>,l:int,c:double,r:double>>")
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out, ready = [], {}
-            for c, v, model in zip(pdf["cluster"], pdf["vec"], pdf["model"]):
-                if c not in ready:
-                    ready[c] = tuple(np.array([m[x] for m in model], np.float64) for x in "vlcr")
-                p, lab, core, reach = ready[c]
-                d = np.maximum(np.sqrt(((p - np.asarray(v, np.float64)) ** 2).sum(1)), core)
-                j = int(d.argmin())
-                out.append(int(lab[j]) if lab[j] >= 0 and d[j] <= reach[j] else -1)
-            yield pd.DataFrame({"cluster": pdf["cluster"], "id": pdf["id"], "sub": out})
-
-    # One model per cluster, each of at most ``bound`` points.
-    return rows.join(F.broadcast(models), "cluster").mapInPandas(predict, f"cluster int, id {rows.schema['id'].dataType.simpleString()}, sub int")
+    return rows.groupBy("cluster").applyInPandas(run, f"cluster int, id {rows.schema['id'].dataType.simpleString()}, sub int")
 
 
 def best_parameters(x: np.ndarray, sizes: list[int], samples: list[int]) -> tuple[int, int, float]:

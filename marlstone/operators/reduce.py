@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.sampling import exact_sample
 
-#: Rows that a layout is fitted on, at most.
-FIT_ROWS = 2_000
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -113,11 +111,11 @@ def neighbour_layout(x: np.ndarray, k: int = 5, dim: int = 5, epochs: int = 100,
     return y
 
 
-def reduce_by_layout(vectors: DataFrame, key: str, vector: str, dim: int = 5, neighbours: int = 5, fraction: float = 0.1, bound: int = FIT_ROWS, seed: str = "42") -> DataFrame:
-    """``id, reduced``: a layout fitted on a sample, other rows at the weighted mean of their nearest fitted rows."""
+def reduce_by_layout(vectors: DataFrame, key: str, vector: str, dim: int = 5, neighbours: int = 5, fraction: float = 0.1, seed: str = "42") -> DataFrame:
+    """``id, reduced``: a layout fitted on ``fraction`` of the rows (200 at least), other rows at the weighted mean of their nearest fitted rows."""
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vec")).filter(F.col("vec").isNotNull())
     n = rows.count()
-    sample = exact_sample(rows, "id", min(1.0, max(fraction, min(1.0, 200 / max(1, n))), bound / max(1, n)), seed).collect()
+    sample = exact_sample(rows, "id", min(1.0, max(fraction, 200 / max(1, n))), seed).collect()
     base = np.array([r["vec"] for r in sample], np.float64)
     shared = vectors.sparkSession.sparkContext.broadcast((base, neighbour_layout(base, neighbours, dim) if len(base) else np.zeros((0, dim))))
 

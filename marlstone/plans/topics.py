@@ -256,19 +256,19 @@ def umap_like_reduce(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("hdbscan_labels")
 def hdbscan_labels(spark: SparkSession, d: str) -> DataFrame:
-    return density.cluster(table(spark, d, "reddit_data"), "row_no", "dimensional_reduction", C.min_cluster_size, C.min_samples, bound=1_500)
+    return density.cluster(table(spark, d, "reddit_data"), "row_no", "dimensional_reduction", C.min_cluster_size, C.min_samples)
 
 
 @registry.add("hdbscan_partial_predict")
 def hdbscan_partial_predict(spark: SparkSession, d: str) -> DataFrame:
-    labels = density.cluster(table(spark, d, "reddit_data"), "row_no", "dimensional_reduction", C.min_cluster_size, C.min_samples, fraction=0.3, bound=1_000)
+    labels = density.cluster(table(spark, d, "reddit_data"), "row_no", "dimensional_reduction", C.min_cluster_size, C.min_samples, fraction=0.3)
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @registry.add("subclusters_per_cluster")
 def subclusters_per_cluster(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "reddit_data")
-    return density.subclusters(rows, "row_no", "clusters", "dimensional_reduction", bound=300)
+    return density.subclusters(rows, "row_no", "clusters", "dimensional_reduction")
 
 
 @registry.add("linkage_average")

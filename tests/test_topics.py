@@ -83,6 +83,32 @@ def test_subclusters(spark, blobs):
     assert set(got["cluster"]) == {0, 1} and got[got["sub"] >= 0].groupby("cluster")["sub"].nunique().tolist() == [2, 2]
 
 
+def test_tree_of_boxes_is_minimal(blobs):
+    x = np.concatenate([blobs[0], blobs[0][:90], np.round(blobs[0])])
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    core = np.sort(d, axis=1)[:, 5]
+    assert np.allclose(density.fit(x, 10, 5).core, core)
+    d = np.maximum(np.maximum(d, core[:, None]), core)
+    best, inside, want = d[0].copy(), {0}, []
+    while len(inside) < len(x):
+        at = min(set(range(len(x))) - inside, key=lambda i: best[i])
+        want.append(best[at])
+        inside.add(at)
+        best = np.minimum(best, d[at])
+    edges = density.spanning_tree(x, core)
+    assert len(edges) == len(x) - 1 and np.allclose(sorted(edges[:, 2]), sorted(want))
+
+
+def test_fits_leave_no_row_out(spark):
+    rng = np.random.default_rng(3)
+    spots = [np.array([20.0 * i, 20.0 * (k // 20), 0, 0, 0]) for k in range(500) for i in [k % 20]]
+    x = np.concatenate([rng.normal(size=(12, 5)) * 0.3 + s for s in spots])
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, cluster int, v array<double>")
+    got = density.cluster(df, "id", "v", 10, 5).toPandas()
+    assert len(got) == len(x) and got["label"].nunique() == 500 and (got["label"] >= 0).all()
+    assert density.subclusters(df, "id", "cluster", "v", 10, 5).toPandas()["sub"].nunique() == 500
+
+
 def test_neighbours_are_exact(spark, blobs):
     x = blobs[0][:50]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
