@@ -32,6 +32,8 @@ DIM = 64
 GRIDS = 8
 #: Vectors per cell that the number of bits aims at.
 PER_CELL = 4
+#: Bits that the grids of each level have more than ``PER_CELL`` asks for.
+FINER = (0, 3)
 #: Least cosine of a member to its group's mean direction, least members of a group.
 MEMBER, LEAST = 0.65, 8
 #: Directions closer than this are one group.
@@ -74,11 +76,11 @@ def axes(bits: int, grid: int, dim: int = DIM) -> np.ndarray:
     return np.concatenate(parts, axis=1)[:, :bits].astype(np.float32)
 
 
-def cell_codes(vectors: DataFrame, bits: int, grids: int = GRIDS, dim: int = DIM) -> DataFrame:
+def cell_codes(vectors: DataFrame, bits: int, grids: int = GRIDS, dim: int = DIM, first: int = 0) -> DataFrame:
     """``id, grid, cell``: the quantised features of each vector in each grid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames = [axes(bits, g, dim) for g in range(grids)]
+        frames = [axes(bits, first + g, dim) for g in range(grids)]
         weight = np.left_shift(np.int64(1), np.arange(bits, dtype=np.int64))
         for batch in batches:
             x = _matrix(batch.column(1), dim)
@@ -187,16 +189,17 @@ def assign(vectors: DataFrame, centers: np.ndarray, least: float, dim: int = DIM
     return out.filter(F.col("cosine") > F.lit(float(least)))
 
 
-def candidate_directions(vectors: DataFrame, n: int, dim: int = DIM, grids: int = GRIDS) -> np.ndarray:
-    """Directions of the densest cells of all components of all grids, near repeats merged."""
-    bits = max(3, min(60, round(math.log2(max(1, n / PER_CELL)))))
-    codes = cut(cell_codes(vectors, bits, grids, dim), "cells")
+def candidate_directions(vectors: DataFrame, n: int, dim: int = DIM, grids: int = GRIDS, finer: int = 0, first: int = 0) -> np.ndarray:
+    """Directions of the densest cells of all components of all grids, near repeats merged.
+
+    A component's size says nothing of its group's: it counts dense cells of one grid only.
+    """
+    bits = max(3, min(60, round(math.log2(max(1, n / PER_CELL))) + finer))
+    codes = cut(cell_codes(vectors, bits, grids, dim, first), "cells")
     # A cell is dense if it holds more than cells hold on average where anything is.
     mean = codes.groupBy("grid", "cell").count().groupBy().agg(F.avg("count").alias("m")).first()["m"]
     parts = dense_components(codes, bits, max(3, math.ceil(mean)))
-    # A component that holds fewer vectors than a group can have is none.
-    whole = parts.groupBy("grid", "label").agg(F.max_by("cell", F.struct("n", -F.col("cell"))).alias("cell"), F.sum("n").alias("size"))
-    peaks = whole.filter(F.col("size") >= LEAST).drop("size")
+    peaks = parts.groupBy("grid", "label").agg(F.max_by("cell", F.struct("n", -F.col("cell"))).alias("cell"))
     members = codes.join(peaks, ["grid", "cell"]).select("id", F.xxhash64("grid", "label").alias("grp"))
     _, sizes, sums = group_sums(members.join(vectors.select("id", "vec"), "id"), dim)
     return merge_directions(sums, sizes, 0.8)
@@ -217,15 +220,19 @@ def find_groups(vectors: DataFrame, dim: int = DIM, grids: int = GRIDS) -> np.nd
     """Mean directions of all groups of ``id, vec, label`` rows.
 
     Vectors that no group takes are searched again on their own, where small groups stand out
-    more, until that finds nothing new.
+    more, until that finds nothing new. Then further and finer grids are searched the same way.
     """
-    centers, rest = np.empty((0, dim), np.float32), vectors
+    centers, rest, level, first = np.empty((0, dim), np.float32), vectors, 0, 0
     while (n := rest.count()) >= LEAST:
         before = len(centers)
-        found = candidate_directions(rest, n, dim, grids)
+        found = candidate_directions(rest, n, dim, grids * (1 + level), FINER[level], first)
         centers = refine(vectors, np.concatenate([centers, found]), 3, dim)
+        first += grids * (1 + level) if level else 0
         if len(centers) <= before:
-            break
+            level, first = level + 1, first + grids
+            if level == len(FINER):
+                break
+            continue
         left = assign(vectors, centers, -3.0, dim).filter(F.col("cosine") <= F.lit(MEMBER))
         rest = cut(left.select("id", "vec", "label"), "ungrouped")
     return centers

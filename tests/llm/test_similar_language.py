@@ -35,6 +35,17 @@ def test_groups_are_found(spark):
     assert len(typical) == 6 and all(len(r["typical"]) == 3 for r in typical)
 
 
+def test_least_groups_among_many_unstructured_vectors(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    truth = [k for k, s in enumerate(s for s in (8, 12, 18, 36, 90) for _ in range(5)) for _ in range(s)]
+    means = unit(rng.normal(size=(25, 64)))
+    x = np.array([unit(means[k] + unit(rng.normal(size=64)) * 0.55) for k in truth] + list(rng.normal(size=(18_000, 64))))
+    members = similar.similarity_groups(frame(spark, x, truth + [-1] * 18_000)).toPandas()
+    sizes = members.groupby("grp")["id"].nunique()
+    assert len(sizes) == 25 and (sizes < 10).sum() == 5
+
+
 def test_unusable_and_empty(spark):
     x, truth = vectors(noise=0)
     assert similar.similarity_groups(frame(spark, x[:0], [])).count() == 0
