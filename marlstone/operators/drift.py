@@ -5,7 +5,8 @@ nodes carry counts of JSON types and of content features (magnitudes of numbers,
 strings). Profiles are built by map-side partial counts, so a file or source of any size is
 never gathered in one task. Consecutive files of a source are compared by tree edit distance:
 the minimum-cost script of adds, deletes, renames and moves turns one schema into the next.
-Scripts compile into one projection per file, which maps its fields to canonical columns.
+Renames compile into one projection per file, which maps the fields that belong to it to canonical
+columns; nested steps are reported, not projected.
 
 Lines that are null, empty, cut off, not JSON or not an object count in no profile and yield
 no row of the table. A file without any object has no fields: its predecessor is compared
@@ -504,9 +505,11 @@ def canonical_names(changes: DataFrame, limit: int = 100_000) -> dict[str, str]:
     return {x: min(g, key=lambda y: (-weight[y], y)) for g in groups.values() for x in g}
 
 
-def unified_table(lines: DataFrame, changes: DataFrame, fields: dict[str, str]) -> DataFrame:
+def unified_table(lines: DataFrame, changes: DataFrame, fields: dict[str, str], profiles: DataFrame | None = None) -> DataFrame:
     """All objects as one table: ``mirror, file_name, line_no`` and ``fields`` (canonical field to SQL type).
 
+    Only fields that belong to a line's file are read (see ``file_profiles``, made here if ``profiles``
+    is not given), so a stray key never hides one; lines without mirror or file may have any field.
     A value that cannot be read as its column's type is null. Object or array values stay JSON
     text in string columns; an object that wraps one number gives that number to a numeric column.
     """
@@ -520,18 +523,27 @@ def unified_table(lines: DataFrame, changes: DataFrame, fields: dict[str, str])
 
     wanted = {f: canon(f) for f in fields}
 
+    def keys_of(own: str | None) -> list[tuple[str, list[str]]]:
+        known = None if own is None else {f["name"] for f in json.loads(own)}
+        return [(fields[c], [k for k in keys if known is None or k in known]) for c, keys in wanted.items()]
+
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: dict[str | None, list[tuple[str, list[str]]]] = {}
         for batch in batches:
             rows = []
-            for m, f, n, line in zip(batch["mirror"], batch["file_name"], batch["line_no"], batch["line"]):
+            for m, f, n, line, own in zip(batch["mirror"], batch["file_name"], batch["line_no"], batch["line"], batch["_own"]):
                 obj = parse_object(line)
                 if obj is None:
                     continue
-                rows.append((m, f, n, *[_as_text(next((obj[k] for k in keys if k in obj), None), fields[c]) for c, keys in wanted.items()]))
+                if own not in ready:
+                    ready[own] = keys_of(own)
+                rows.append((m, f, n, *[_as_text(next((obj[k] for k in keys if k in obj), None), t) for t, keys in ready[own]]))
             yield pd.DataFrame(rows, columns=["mirror", "file_name", "line_no", *wanted])
 
+    names_only = F.to_json(F.from_json("profile", "array<struct<name:string>>"))
+    own = (file_profiles(lines) if profiles is None else profiles).select("mirror", "file_name", names_only.alias("_own"))
     ddl = "mirror string, file_name string, line_no long, " + ", ".join(f"`{f}` string" for f in fields)
-    flat = lines.select("mirror", "file_name", "line_no", "line").mapInPandas(project, ddl)
+    flat = lines.select("mirror", "file_name", "line_no", "line").join(own, ["mirror", "file_name"], "left").mapInPandas(project, ddl)
     cast = [F.col(f"`{f}`").try_cast(t).alias(f) if t not in ("string", "bigint", "int") else F.col(f"`{f}`").try_cast("double").try_cast(t).alias(f) if t != "string" else F.col(f"`{f}`") for f, t in fields.items()]
     return flat.select("mirror", "file_name", "line_no", *cast)
 

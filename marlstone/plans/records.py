@@ -27,8 +27,12 @@ POST_FIELDS = {
 HEAVY_SHARE = 0.05
 
 
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    return cut(drift.file_profiles(table(spark, d, "raw_lines")), "profiles")
+
+
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    return cut(drift.schema_changes(cut(drift.file_profiles(table(spark, d, "raw_lines")), "profiles")), "changes")
+    return cut(drift.schema_changes(_profiles(spark, d)), "changes")
 
 
 @registry.add("p1_found")
@@ -40,7 +44,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("p1_posts")
 def p1_posts(spark: SparkSession, d: str) -> DataFrame:
     """The consistent post table over all mirrors and files."""
-    return drift.unified_table(table(spark, d, "raw_lines"), _changes(spark, d), POST_FIELDS)
+    profiles = _profiles(spark, d)
+    return drift.unified_table(table(spark, d, "raw_lines"), cut(drift.schema_changes(profiles), "changes"), POST_FIELDS, profiles)
 
 
 @registry.add("p1_scripts")

@@ -81,6 +81,16 @@ def test_unified_table_follows_renames(spark):
     assert table.filter(F.col("author").isNull()).count() == 0 and table.count() == 40
 
 
+def test_stray_keys_hide_no_field(spark):
+    second = [{("user" if k == "author" else k): v for k, v in base(i + 3).items()} | ({"author": [None, "x", 1, True][i // 5]} if i % 5 == 0 else {}) for i in range(20)]
+    files = {"RS_1": posts(20, base), "RS_2": [json.dumps(x) for x in second]}
+    got, changes = report(spark, files)
+    assert ("renamed", "author", "user") in got
+    rows = [("m", n, i, x) for n, ls in files.items() for i, x in enumerate(ls)]
+    table = drift.unified_table(frame(spark, rows), changes, {"author": "string"}).filter("file_name = 'RS_2'")
+    assert {r["line_no"]: r["author"] for r in table.collect()} == {i: x["user"] for i, x in enumerate(second)}
+
+
 @pytest.mark.parametrize("value, kind", [(True, "boolean"), (3, "integer"), (3.0, "decimal"), ("3", "string"), ([], "array"), ({}, "object")])
 def test_json_types(value, kind):
     assert drift.json_type(value) == kind
