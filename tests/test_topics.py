@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import agreement, density, hierarchy, naming, neighbours, reduce, tfidf
+from marlstone.operators import agreement, density, hierarchy, naming, neighbours, reduce, reports, tfidf
 
 
 def test_tfidf_formula(spark):
@@ -173,3 +173,9 @@ def test_npmi_and_diversity(spark):
     assert got[2] == -1 and got[1] == pytest.approx(1.0)
     assert tfidf.word_diversity(words).first()["diversity"] == pytest.approx(3 / 25) and tfidf.distinct_ratio(words).first()["diversity"] == 0.75
     assert words.filter(F.lit(False)).transform(tfidf.distinct_ratio).first()["diversity"] is None
+
+
+def test_months_without_rows_are_there(spark):
+    rows = spark.sql("select * from values (timestamp'2020-11-05', 4.0D), (timestamp'2020-11-30', 8.0D), (timestamp'2021-02-01', 3.0D), (null, 9.0D) t(at, v)")
+    got = reports.monthly_mean(rows, F.col("at"), "v").collect()
+    assert {r["month"]: r["mean"] for r in got} == {"2020-11": 6.0, "2020-12": None, "2021-01": None, "2021-02": 3.0}
