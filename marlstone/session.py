@@ -8,9 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Partitions that a Python stage gets per shuffle partition count; see ``spread``.
-MIN_PARTITIONS = 8
-
 
 def get_session(app: str = "marlstone", cores: int | str = "*", partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
     """A local session with the settings every query expects (UTC, Arrow, AQE)."""
@@ -41,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = os.path.join(tempfile.gettempdir(), "marlstone-shared")
         spark.conf.set("spark.checkpoint.dir", given)
@@ -63,9 +61,14 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def width(spark: SparkSession) -> int:
-    """Number of tasks that a Python-heavy stage should be split into."""
-    return max(MIN_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, reshuffled only where its input has fewer splits than the cluster has cores.
+
+    For scans before a Python stage: a few small files would leave cores idle, while an input of many
+    splits keeps them and is not shuffled. Splits are counted from the plan of the scan; no job runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def prepare(spark: SparkSession) -> None:
