@@ -14,9 +14,11 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import cut
+
 #: A key is heavy above 1 / (FINENESS * tasks) of all rows, so there are fewer than FINENESS * tasks of them.
 FINENESS = 4
 #: Hash buckets of light keys per task.
@@ -32,21 +34,21 @@ class ShardPlan:
     buckets: list[int] = field(default_factory=lambda: [0])
     loads: list[int] = field(default_factory=list)
 
-    def shards(self, key: Column) -> Column:
-        """Number of shards of a key: 1 unless it is heavy."""
-        out = F.lit(1)
-        if self.heavy:
-            counts = F.create_map(*[F.lit(x) for k, t in self.heavy.items() for x in (k, len(t))])
-            out = F.coalesce(counts[_text(key)], F.lit(1))
-        return out
+    def shards_of(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` with ``_fr_tasks``: the tasks of each shard of a heavy key, null for light keys.
+
+        The plan travels as a table of fewer than ``FINENESS * tasks`` rows, not inside the expression.
+        """
+        spark = df.sparkSession
+        heavy = spark.createDataFrame(list(self.heavy.items()), "_fr_key string, _fr_tasks array<int>")
+        return df.withColumn("_fr_key", _text(F.col(key))).join(F.broadcast(heavy), "_fr_key", "left").drop("_fr_key")
 
-    def task(self, key: Column, shard: Column) -> Column:
-        """Task number of a shard of a key."""
-        light = F.array(*[F.lit(t) for t in self.buckets])[F.pmod(F.xxhash64(_text(key)), F.lit(len(self.buckets))).cast("int")]
-        if not self.heavy:
-            return light
-        tasks = F.create_map(*[x for k, t in self.heavy.items() for x in (F.lit(k), F.array(*map(F.lit, t)))])
-        return F.coalesce(F.get(tasks[_text(key)], shard), light)
+    def tasks_of(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` (with ``_fr_tasks`` and ``_fr_shard``) with the number of each row's task; buckets travel as a table."""
+        buckets = df.sparkSession.createDataFrame(list(enumerate(self.buckets)), "_fr_bucket int, _fr_light int")
+        bucket = F.pmod(F.xxhash64(_text(F.col(key))), F.lit(len(self.buckets))).cast("int")
+        joined = df.withColumn("_fr_bucket", bucket).join(F.broadcast(buckets), "_fr_bucket")
+        return joined.withColumn("_fr_task", F.coalesce(F.get("_fr_tasks", F.col("_fr_shard")), F.col("_fr_light"))).drop("_fr_bucket", "_fr_light", "_fr_tasks")
 
 
 def _text(key: Column) -> Column:
@@ -54,6 +56,11 @@ def _text(key: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
 
 
+def _parts() -> Column:
+    """Number of shards of a key: 1 unless it is heavy."""
+    return F.when(F.col("_fr_tasks").isNull(), 1).otherwise(F.size("_fr_tasks"))
+
+
 def pack(loads: list[int], tasks: int) -> list[int]:
     """Task of each item, largest load first onto the least loaded task (ties: lowest number)."""
     heap, out = [(0, t) for t in range(tasks)], [0] * len(loads)
@@ -75,7 +82,7 @@ def plan_shards(df: DataFrame, key: str, tasks: int | None = None) -> ShardPlan:
     n_buckets = BUCKETS * tasks
     counts = df.groupBy(_text(F.col(key)).alias("_fr_key")).agg(F.count(F.lit(1)).alias("_fr_n"))
     bucket = F.pmod(F.xxhash64("_fr_key"), F.lit(n_buckets)).cast("int")
-    # Two levels of grouping, both pre-aggregated: keys of a bucket, then totals.
+    # Two levels of grouping, both pre-aggregated: keys of a bucket, then totals. The count reads no column.
     total = df.count()
     limit = total / (FINENESS * tasks)
     is_heavy = F.col("_fr_n") > F.lit(limit)
@@ -110,11 +117,9 @@ def route(df: DataFrame, key: str, plan: ShardPlan, spread_by: list[str]) -> Dat
     Rows of a heavy key are divided by the hash of ``spread_by``, so equal values of these
     columns meet in one shard.
     """
-    n = plan.shards(F.col(key))
-    shard = F.pmod(F.xxhash64(*spread_by), n).cast("int")
-    routed = df.withColumn("_fr_shard", shard)
-    routed = routed.withColumn("_fr_task", plan.task(F.col(key), F.col("_fr_shard")))
-    return routed.repartitionById(plan.tasks, F.col("_fr_task"))
+    shard = F.pmod(F.xxhash64(*spread_by), _parts()).cast("int")
+    routed = plan.tasks_of(plan.shards_of(df, key).withColumn("_fr_shard", shard), key)
+    return routed.select(*df.columns, "_fr_shard", "_fr_task").repartitionById(plan.tasks, F.col("_fr_task"))
 
 
 def balanced_stats(df: DataFrame, key: str, member: str, measures: dict[str, str], tasks: int | None = None) -> DataFrame:
@@ -155,13 +160,17 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, spread_by: list[s
         if c.lower() in taken:
             right = right.withColumnRenamed(c, f"right_{c}")
     fragments = route(left, key, plan, spread_by)
-    copies = right.withColumn("_fr_shard", F.explode(F.sequence(F.lit(0), plan.shards(F.col(key)) - 1)))
-    copies = copies.withColumn("_fr_task", plan.task(F.col(key), F.col("_fr_shard"))).repartitionById(plan.tasks, F.col("_fr_task"))
+    copies = plan.shards_of(right, key).withColumn("_fr_shard", F.explode(F.sequence(F.lit(0), _parts() - 1)))
+    copies = plan.tasks_of(copies, key).select(*right.columns, "_fr_shard", "_fr_task").repartitionById(plan.tasks, F.col("_fr_task"))
     return fragments.join(copies, ["_fr_task", "_fr_shard", key], how).drop("_fr_task", "_fr_shard")
 
 
 def heavy_keys(stats: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys of ``balanced_stats`` that hold at least ``share`` of all rows; null is no key."""
+    """Keys of ``balanced_stats`` that hold at least ``share`` of all rows; null is no key.
+
+    The statistics, one row per key, are written once and read for the total and for the keys.
+    """
+    stats = cut(stats, "key_stats")
     total = stats.agg(F.sum("n_rows").alias("_fr_total"))
     return stats.join(F.broadcast(total), F.col("n_rows") >= F.lit(share) * F.col("_fr_total")).drop("_fr_total").filter(F.col(key).isNotNull())
 
