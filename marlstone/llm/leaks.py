@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import cut, width
+from marlstone.session import cut, spread
 
 #: Consecutive words that make a leak.
 WINDOW = 12
@@ -99,7 +99,7 @@ def template_hits(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", it
     block against all documents, and documents are streamed once per block without a shuffle.
     """
     out: DataFrame | None = None
-    parts = docs.select(doc_key, text).filter(F.col(doc_key).isNotNull()).repartition(width(docs.sparkSession))
+    parts = spread(docs.select(doc_key, text).filter(F.col(doc_key).isNotNull()))
     kd, ki = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     ddl = f"`{doc_key}` {kd}, `{item_key}` {ki}, verbatim_windows int, renamed_windows int, first_word int"
     for block in _blocks(items, item_key, text):

@@ -9,7 +9,7 @@ from marlstone.llm import abuse, language, leaks, personal, similar, spans, term
 from marlstone.llm.posts import distinct_posts
 from marlstone.operators.skew import community_key
 from marlstone.plans.registry import Registry
-from marlstone.session import cut, table, width
+from marlstone.session import cut, spread, table
 
 registry = Registry()
 
@@ -70,7 +70,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return tokens.encode_corpus(docs.repartition(width(spark)))
+    return tokens.encode_corpus(spread(docs))
 
 
 @registry.add("p8_totals")
@@ -140,7 +140,7 @@ def _segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     posts = cut(_posts(spark, d), "posts")
     labels = cut(language.latest_labels(table(spark, d, "language_labels")), "labels")
     model = language.fit_languages(posts, labels)
-    return language.language_segments(posts.repartition(width(spark)), model), labels
+    return language.language_segments(spread(posts), model), labels
 
 
 @registry.add("p6_found")
@@ -165,7 +165,7 @@ def p6_posts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _personal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    posts = cut(_posts(spark, d).repartition(width(spark)), "posts")
+    posts = spread(cut(_posts(spark, d), "posts"))
     return posts, personal.personal_spans(posts)
 
 
@@ -186,7 +186,7 @@ def p3_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _content(spark: SparkSession, d: str) -> DataFrame:
-    posts = cut(_posts(spark, d).join(language.latest_labels(table(spark, d, "language_labels")), "id", "left").repartition(width(spark)), "posts")
+    posts = spread(cut(_posts(spark, d).join(language.latest_labels(table(spark, d, "language_labels")), "id", "left"), "posts"))
     labelled = abuse.labelled_posts(posts, table(spark, d, "review_labels")).join(posts.select("id", "label"), "id", "left").orderBy("id").collect()
     model = abuse.fit_classifier([(r["title"], r["selftext"], r["verdicts"]) for r in labelled], [r["label"] or "" for r in labelled])
     return abuse.content_scores(posts, model, "label")

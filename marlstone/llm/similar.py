@@ -2,11 +2,12 @@
 
 Only directions count. Features are projections on fixed random axes, quantised to their sign, so
 a cell is a code of as many bits as the data's size asks for; several independent grids make up
-for groups that one grid cuts badly. In SQL, cells are counted, each dense cell is joined with
-its densest adjacent cell (one bit apart), and minimum labels are propagated along these links to
-convergence. The densest cell of each component gives a candidate direction. An exact pass then
-assigns every vector to its nearest direction and recomputes directions, which merges what several
-grids found twice and drops what has too few members.
+for groups that one grid cuts badly. In SQL, cells are counted, and those that hold more than cells
+do on average and whose vectors point the same way (more than chance explains) are dense. All adjacent dense cells (one bit apart)
+of like direction are joined, cells of different grids are joined where they share members, and minimum labels
+are propagated along these links to convergence. Each component gives one direction, so what reaches the driver
+grows with the number of groups, not of vectors. An exact pass then assigns every vector to its
+nearest direction and recomputes directions, which drops what has too few members.
 
 Unusable vectors (null, other length, null, NaN or infinite entries, all zero) are in no group. Of
 repeated ids the usable row with the least row number counts. Empty input gives empty results.
@@ -23,10 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - pa.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import cut, width
+from marlstone.functions.vectors import dot
+from marlstone.operators.components import components
+from marlstone.session import cut, spread
 
 DIM = 64
 GRIDS = 8
@@ -36,10 +39,16 @@ PER_CELL = 4
 FINER = (0, 3)
 #: Least cosine of a member to its group's mean direction, least members of a group.
 MEMBER, LEAST = 0.65, 8
-#: Directions closer than this are one group.
-SAME = 0.9
+#: Least mean cosine between the vectors of a dense cell, and how many standard errors of chance are added to it.
+COHERENT, ERRORS = 0.25, 3.0
+#: Dense cells are joined only if their mean directions are at least so close; directions closer than ``SAME`` are one group.
+ALIKE, SAME = 0.9, 0.9
+#: Least members that joined cells of different grids share.
+SHARED = 2
 #: Directions compared at once in a task (5 MB); more go in further blocks over the same rows.
 BLOCK = 20_000
+#: Cell sums that a task holds before it hands them on.
+HELD = 50_000
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, order: str, label: str, dim: int = DIM) -> DataFrame:
@@ -61,7 +70,7 @@ def usable_vectors(df: DataFrame, key: str, vector: str, order: str, label: str,
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), vec, batch.column(2).take(keep), batch.column(3).take(keep)], ["id", "vec", "at", "label"])
 
     named = df.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("vec"), F.col(order).cast("long").alias("at"), F.col(label).cast("int").alias("label")).filter(F.col("id").isNotNull())
-    rows = named.mapInArrow(run, "id string, vec array<float>, at long, label int")
+    rows = spread(named).mapInArrow(run, "id string, vec array<float>, at long, label int")
     return rows.groupBy("id").agg(F.min_by("vec", "at").alias("vec"), F.min_by("label", F.when(F.col("label").isNotNull(), F.col("at"))).alias("label"))
 
 
@@ -92,117 +101,154 @@ def cell_codes(vectors: DataFrame, bits: int, grids: int = GRIDS, dim: int = DIM
     return vectors.select("id", "vec").mapInArrow(run, "id string, grid int, cell long")
 
 
-def dense_components(codes: DataFrame, bits: int, least: int) -> DataFrame:
-    """``grid, cell, label, n`` of dense cells: label is the least cell of the component.
+def _summed(batches: Iterator[tuple[np.ndarray, np.ndarray]], dim: int) -> Iterator[pa.RecordBatch]:
+    """Partial sums ``grp, n, total`` of (group numbers, vectors), handed on whenever many are held."""
 
-    A cell is linked with its densest neighbour, if that is denser (ties: the smaller code).
-    Links lead uphill, so components are the catchment areas of local peaks.
+    def rows(total: dict[int, np.ndarray], count: dict[int, int]) -> pa.RecordBatch:
+        keys = list(total)
+        flat = np.concatenate([total[k] for k in keys]) if keys else np.empty(0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * dim, pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([count[k] for k in keys], pa.int64()), lists], ["grp", "n", "total"])
+
+    total: dict[int, np.ndarray] = {}
+    count: dict[int, int] = {}
+    for g, x in batches:
+        if not len(g):
+            continue
+        order = np.argsort(g, kind="stable")
+        keys, first, n = np.unique(g[order], return_index=True, return_counts=True)
+        for k, s, c in zip(keys.tolist(), np.add.reduceat(x[order].astype(np.float64), first, axis=0), n.tolist()):
+            total[k] = total[k] + s if k in total else s
+            count[k] = count.get(k, 0) + c
+        if len(total) > HELD:
+            yield rows(total, count)
+            total, count = {}, {}
+    yield rows(total, count)
+
+
+_SUMS = "grp long, n long, total array<double>"
+
+
+def _added(parts: DataFrame, dim: int) -> DataFrame:
+    """``grp, n, total`` with partial sums added up, each position as an aggregate of its own."""
+    sums = F.array(*[F.sum(F.get("total", F.lit(i))) for i in range(dim)])
+    return parts.groupBy("grp").agg(F.sum("n").alias("n"), sums.alias("total"))
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def dense_cells(codes: DataFrame, vectors: DataFrame, bits: int, dim: int = DIM) -> DataFrame:
+    """``grp, grid, cell, n, total`` of cells with more than the average of occupied cells (3 at least) and like directions.
+
+    Vectors that share a cell share signs, so their mean cosine is above 0 by chance; few vectors
+    may exceed that by chance too. Both are asked for on top.
     """
-    counts = codes.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    dense = cut(counts, "dense_cells")
-    flips = F.explode(F.array(*[F.lit(1 << b).cast("long") for b in range(bits)]))
-    near = dense.select("grid", F.col("cell").alias("from"), F.col("n").alias("own"), flips.alias("bit")).withColumn("cell", F.col("from").bitwiseXOR(F.col("bit")))
-    up = near.join(dense, ["grid", "cell"]).filter((F.col("n") > F.col("own")) | ((F.col("n") == F.col("own")) & (F.col("cell") < F.col("from"))))
-    best = up.groupBy("grid", "from").agg(F.max_by("cell", F.struct("n", -F.col("cell"))).alias("to"))
-    links = best.select("grid", F.col("from").alias("a"), F.col("to").alias("b"))
-    links = cut(links.unionByName(links.select("grid", F.col("b").alias("a"), F.col("a").alias("b"))), "cell_links")
-    labels = dense.select("grid", "cell", F.col("cell").alias("label"), "n")
-    while True:
-        passed = links.join(labels.select("grid", F.col("cell").alias("a"), "label"), ["grid", "a"]).groupBy("grid", F.col("b").alias("cell")).agg(F.min("label").alias("heard"))
-        step = labels.join(passed, ["grid", "cell"], "left").select("grid", "cell", F.least("label", F.coalesce("heard", "label")).alias("label"), "n", (F.coalesce("heard", "label") < F.col("label")).alias("changed"))
-        step = cut(step, "cell_labels")
-        labels = step.drop("changed")
-        if step.filter("changed").isEmpty():
-            return labels
-
-
-def _sums(dim: int):
-    """Partial sums of vectors by group: ``grp, n, total``."""
+    counts = cut(codes.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    mean = counts.agg(F.avg("n").alias("m")).first()["m"] or 0
+    full = cut(counts.filter(F.col("n") >= max(3, math.ceil(mean))).withColumn("grp", F.xxhash64("grid", "cell")), "full_cells")
+    members = codes.join(full.select("grid", "cell", "grp"), ["grid", "cell"]).select("id", "grp").join(vectors.select("id", "vec"), "id").select("grp", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        count: dict[int, int] = {}
-        for batch in batches:
-            g, x = np.asarray(batch.column(0)), _matrix(batch.column(1), dim).astype(np.float64)
-            if not len(g):
-                continue
-            order = np.argsort(g, kind="stable")
-            keys, first, n = np.unique(g[order], return_index=True, return_counts=True)
-            for k, s, c in zip(keys.tolist(), np.add.reduceat(x[order], first, axis=0), n.tolist()):
-                total[k] = total[k] + s if k in total else s
-                count[k] = count.get(k, 0) + c
-        keys = list(total)
-        flat = np.concatenate([total[k] for k in keys]) if keys else np.empty(0)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([count[k] for k in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * dim, pa.int32()), pa.array(flat))], ["grp", "n", "total"])
+        return _summed(((np.asarray(b.column(0)), _matrix(b.column(1), dim)) for b in batches), dim)
+
+    sums = _added(members.mapInArrow(run, _SUMS), dim).select("grp", "total")
+    pairs = F.col("n") * (F.col("n") - 1)
+    likeness = (dot(F.col("total"), F.col("total")) - F.col("n")) / pairs
+    limit = max(COHERENT, 2 * bits / (math.pi * dim) + 0.1)
+    chance = F.lit(ERRORS / math.sqrt(dim)) / F.sqrt(pairs / 2)
+    return cut(full.join(sums, "grp").filter(likeness >= limit + chance), "dense_cells")
+
 
-    return run
+def cell_links(dense: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
+    """``a, b`` of dense cells that belong together: adjacent ones, and those of successive grids with common members."""
+    flips = F.explode(F.array(*[F.lit(1 << b).cast("long") for b in range(bits)]))
+    near = dense.select("grid", F.col("grp").alias("a"), F.col("cell").alias("from"), flips.alias("bit")).withColumn("cell", F.col("from").bitwiseXOR(F.col("bit")))
+    beside = near.filter(F.col("cell") > F.col("from")).join(dense.select("grid", "cell", F.col("grp").alias("b")), ["grid", "cell"]).select("a", "b")
+    held = codes.join(dense.select("grid", "cell", "grp"), ["grid", "cell"])
+    of_id = held.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("grid", "grp"))).alias("c"))  # one per grid at most
+    steps = F.expr("transform(sequence(1, size(c) - 1), i -> struct(c[i - 1].grp as a, c[i].grp as b))")
+    shared = of_id.filter(F.size("c") > 1).select(F.explode(steps).alias("s")).groupBy("s.a", "s.b").agg(F.count(F.lit(1)).alias("n"))
+    links = beside.unionByName(shared.filter(F.col("n") >= SHARED).select("a", "b"))
+    of = dense.select("grp", "total")
+    both = links.join(of.select(F.col("grp").alias("a"), F.col("total").alias("ta")), "a").join(of.select(F.col("grp").alias("b"), F.col("total").alias("tb")), "b")
+    return both.filter(_cosine(F.col("ta"), F.col("tb")) >= ALIKE).select("a", "b")
 
 
-def group_sums(rows: DataFrame, dim: int = DIM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Group numbers, sizes and vector sums of ``grp, vec`` rows; one partial row per group and task."""
-    parts = cut(rows.select("grp", "vec").mapInArrow(_sums(dim), "grp long, n long, total array<double>"), "group_sums")
-    sizes = parts.groupBy("grp").agg(F.sum("n").alias("n")).orderBy("grp").toArrow()
-    cells = parts.select("grp", F.posexplode("total").alias("pos", "x")).groupBy("grp", "pos").agg(F.sum("x").alias("x")).toArrow()
-    grp = np.asarray(sizes["grp"])
-    total = np.zeros((len(grp), dim))
-    if len(grp):
-        total[np.searchsorted(grp, np.asarray(cells["grp"])), np.asarray(cells["pos"])] = np.asarray(cells["x"])
-    return grp, np.asarray(sizes["n"]), total
+def candidate_directions(vectors: DataFrame, n: int, dim: int = DIM, grids: int = GRIDS, finer: int = 0, first: int = 0) -> np.ndarray:
+    """Directions of all components of dense cells, near repeats merged."""
+    bits = max(3, min(58, round(math.log2(max(1, n / PER_CELL))) + finer))
+    codes = cut(cell_codes(vectors, bits, grids, dim, first), "codes")
+    dense = dense_cells(codes, vectors, bits, dim)
+    roots = components(cell_links(dense, codes, bits)).select(F.col("node").alias("grp"), "root")
+    whole = dense.join(roots, "grp", "left").select(F.coalesce("root", "grp").alias("grp"), "n", "total")
+    found = _added(whole, dim).toArrow()
+    return merge_directions(_matrix(found["total"].combine_chunks(), dim), np.asarray(found["n"]), SAME)
 
 
 def merge_directions(centers: np.ndarray, sizes: np.ndarray, same: float) -> np.ndarray:
     """Unit directions without near repeats: larger groups first, those within ``same`` of a kept one left out."""
     norm = np.linalg.norm(centers, axis=1)
-    order = np.lexsort((np.arange(len(sizes)), -sizes))
-    kept: list[np.ndarray] = []
+    order = [i for i in np.lexsort((np.arange(len(sizes)), -sizes)) if norm[i] > 0]
+    kept, k = np.empty((len(order), centers.shape[1])), 0
     for i in order:
-        if norm[i] <= 0:
-            continue
         c = centers[i] / norm[i]
-        if not kept or (np.array(kept) @ c).max() < same:
-            kept.append(c)
-    return np.array(kept, np.float32).reshape(-1, centers.shape[1])
+        if not k or (kept[:k] @ c).max() < same:
+            kept[k] = c
+            k += 1
+    return kept[:k].astype(np.float32)
 
 
-def assign(vectors: DataFrame, centers: np.ndarray, least: float, dim: int = DIM) -> DataFrame:
-    """``id, vec, label, grp, cosine`` of vectors nearer than ``least`` to some direction; ties go to the first."""
-    out = vectors.select("id", "vec", "label", F.lit(-1).cast("long").alias("grp"), F.lit(-2.0).cast("float").alias("cosine"))
-    schema = out.schema
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and cosine of the nearest direction of each row; ties go to the first."""
+    top, value = np.full(len(x), -1, np.int64), np.full(len(x), -2.0, np.float32)
     for start in range(0, len(centers), BLOCK):
         block = np.ascontiguousarray(centers[start : start + BLOCK].T)
-
-        def run(batches: Iterator[pa.RecordBatch], block: np.ndarray = block, start: int = start) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = _matrix(batch.column(1), dim)
-                grp, cosine = np.asarray(batch.column(3)).copy(), np.asarray(batch.column(4)).copy()
-                step = max(1, 4_000_000 // max(1, block.shape[1]))
-                for a in range(0, len(x), step):
-                    s = x[a : a + step] @ block
-                    top = s.argmax(1)
-                    value = s[np.arange(len(top)), top]
-                    better = value > cosine[a : a + step]
-                    grp[a : a + step][better] = top[better] + start
-                    cosine[a : a + step][better] = value[better]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grp), pa.array(cosine)], batch.schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out.filter(F.col("cosine") > F.lit(float(least)))
+        step = max(1, 4_000_000 // block.shape[1])
+        for a in range(0, len(x), step):
+            s = x[a : a + step] @ block
+            best = s.argmax(1)
+            v = s[np.arange(len(best)), best]
+            better = v > value[a : a + step]
+            top[a : a + step][better] = best[better] + start
+            value[a : a + step][better] = v[better]
+    return top, value
 
 
-def candidate_directions(vectors: DataFrame, n: int, dim: int = DIM, grids: int = GRIDS, finer: int = 0, first: int = 0) -> np.ndarray:
-    """Directions of the densest cells of all components of all grids, near repeats merged.
+def assign(vectors: DataFrame, centers: np.ndarray, least: float, dim: int = DIM) -> DataFrame:
+    """``id, vec, label, grp, cosine`` of vectors nearer than ``least`` to some direction; ties go to the first.
 
-    A component's size says nothing of its group's: it counts dense cells of one grid only.
+    Directions are one for each group found (256 bytes each) and travel once to each executor.
     """
-    bits = max(3, min(60, round(math.log2(max(1, n / PER_CELL))) + finer))
-    codes = cut(cell_codes(vectors, bits, grids, dim, first), "cells")
-    # A cell is dense if it holds more than cells hold on average where anything is.
-    mean = codes.groupBy("grid", "cell").count().groupBy().agg(F.avg("count").alias("m")).first()["m"]
-    parts = dense_components(codes, bits, max(3, math.ceil(mean)))
-    peaks = parts.groupBy("grid", "label").agg(F.max_by("cell", F.struct("n", -F.col("cell"))).alias("cell"))
-    members = codes.join(peaks, ["grid", "cell"]).select("id", F.xxhash64("grid", "label").alias("grp"))
-    _, sizes, sums = group_sums(members.join(vectors.select("id", "vec"), "id"), dim)
-    return merge_directions(sums, sizes, 0.8)
+    shared = vectors.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp, cosine = _nearest(_matrix(batch.column(1), dim), shared.value)
+            keep = pa.array(cosine > least)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grp), pa.array(cosine)], [*batch.schema.names, "grp", "cosine"]).filter(keep)
+
+    rows = vectors.select("id", "vec", "label")
+    return rows.mapInArrow(run, "id string, vec array<float>, label int, grp long, cosine float")
+
+
+def group_sums(vectors: DataFrame, centers: np.ndarray, least: float, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and vector sums of the groups that ``assign`` would make; one partial row per group and task is shuffled."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                x = _matrix(batch.column(0), dim)
+                grp, cosine = _nearest(x, shared.value)
+                keep = cosine > least
+                yield grp[keep], x[keep]
+
+        return _summed(near(), dim)
+
+    got = _added(vectors.select("vec").mapInArrow(run, _SUMS), dim).orderBy("grp").toArrow()
+    return np.asarray(got["n"]), _matrix(got["total"].combine_chunks(), dim)
 
 
 def refine(vectors: DataFrame, centers: np.ndarray, passes: int, dim: int = DIM) -> np.ndarray:
@@ -210,7 +256,7 @@ def refine(vectors: DataFrame, centers: np.ndarray, passes: int, dim: int = DIM)
     for k in range(passes):
         if not len(centers):
             break
-        _, sizes, sums = group_sums(assign(vectors, centers, MEMBER if k else MEMBER - 0.1, dim), dim)
+        sizes, sums = group_sums(vectors, centers, MEMBER if k else MEMBER - 0.1, dim)
         big = sizes >= (LEAST if k else 3)
         centers = merge_directions(sums[big], sizes[big], SAME)
     return centers
@@ -226,10 +272,13 @@ def find_groups(vectors: DataFrame, dim: int = DIM, grids: int = GRIDS) -> np.nd
     while (n := rest.count()) >= LEAST:
         before = len(centers)
         found = candidate_directions(rest, n, dim, grids * (1 + level), FINER[level], first)
-        centers = refine(vectors, np.concatenate([centers, found]), 3, dim)
-        first += grids * (1 + level) if level else 0
+        # Candidates are tried on the rows they come from; only new groups send all rows through again.
+        fresh = refine(rest, found, 2, dim) if len(found) else found
+        first += grids * (1 + level)
+        if len(fresh):
+            centers = refine(vectors, np.concatenate([centers, fresh]), 2, dim)
         if len(centers) <= before:
-            level, first = level + 1, first + grids
+            level += 1
             if level == len(FINER):
                 break
             continue
@@ -240,7 +289,7 @@ def find_groups(vectors: DataFrame, dim: int = DIM, grids: int = GRIDS) -> np.nd
 
 def similarity_groups(df: DataFrame, key: str = "ids", vector: str = "embeddings", order: str = "row_no", label: str = "clusters", dim: int = DIM) -> DataFrame:
     """``id, grp, cosine, label`` of every member of a group."""
-    vectors = cut(usable_vectors(df, key, vector, order, label, dim).repartition(width(df.sparkSession)), "vectors")
+    vectors = spread(cut(usable_vectors(df, key, vector, order, label, dim), "vectors"))
     return assign(vectors, find_groups(vectors, dim), MEMBER, dim).select("id", "grp", "cosine", "label")
 
 

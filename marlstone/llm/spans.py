@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import cut, width
+from marlstone.session import cut, spread
 
 LENGTH = 400
 #: Characters hashed as one anchor.
@@ -279,7 +279,7 @@ def _block_batches(length: int):
 
 def shared_between_classes(classes: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows ``doc, other`` (pairs) and ``doc, start, end`` (spans) between documents of different text."""
-    tasks = width(classes.sparkSession)
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = classes.select("rep", "text").repartition(tasks).mapInArrow(_anchor_batches(length), "key long, doc long, first int, last int")
     found = cut(rows, "anchors")
     sets = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("n > 1")
