@@ -26,8 +26,14 @@ ROUNDS = 4
 #: Least score of an accepted candidate, least instances of a pattern, instances that halve a new pattern's score,
 #: and how much an open name candidate counts against its patterns.
 ACCEPT, SUPPORT, DOUBT, OPEN = 0.6, 2, 0.5, 0.05
-#: Learned given names that travel to the tasks, at most; more raise an error.
-MOST_NAMES = 200_000
+#: Learned given names that travel to the tasks at once; more go in further passes over the texts.
+NAMES_AT_ONCE = 200_000
+#: A pattern, given or family name is frequent if it makes up more than 1 / FREQUENT of the rows: fewer than FREQUENT are.
+FREQUENT = 4000
+#: How far the form of a seed and its context count: a seed's score is at least the first.
+SEED = 0.9
+#: Words beside a number between which an address with it lies: no form has so many on one side.
+REACH = 10
 
 # ---- fixed values: words of addresses, forms of address and name particles in seven languages
 FORMS_OF_ADDRESS = "Mr Mrs Ms Miss Mx Dr Prof Professor Doctor Sir Madam Herr Frau Monsieur Madame Mme Mlle M Señor Señora Sr Sra Don Doña Signor Signora Sig Meneer Mevrouw Dhr Mevr Senhor Senhora Dona".split()
@@ -57,6 +63,10 @@ EMAIL = re.compile(
     rf"(?<![\w.+\-])[\w](?:[\w.+%\-]*[\w])?(?:{_AT}[a-z0-9\-]+(?:{_DOT}[a-z0-9\-]+)*{_DOT}[a-z]{{2,}}| at [a-z0-9\-]+(?: dot [a-z0-9\-]+)* dot [a-z]{{2,}})(?![\w@])",
     re.I,
 )
+#: Every text with an email address has one of these: an at sign, "at" in brackets, or both words.
+_AT_HINT = re.compile(r"[\[(<{]\s?at\s?[\])>}]")
+#: Addresses that say "at" with a written domain: their context decides.
+LOOSE_EMAIL = re.compile(r"(?<![\w.+\-@])[\w](?:[\w.+%\-]*[\w])? at [a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,}(?![\w@])", re.I)
 URL = re.compile(r"https?://\S+|www\.\S+", re.I)
 NUMBER = re.compile(r"(?<![\w.,/\-])(?:[A-Z]{1,2}[ \-]?)?(?:\+|\()?\d(?:[\d]|[ ().\-/:](?=[\d()\-. ])){3,}\d(?: ?[A-Z](?![\w]))?(?![\w%€$£])")
 _WORDS = "|".join(DIGIT_WORDS)
@@ -88,6 +98,8 @@ NUMBERED_NAME = re.compile(rf"{_EDGE}\d{{1,5}}[A-Za-z]? {_CAP}(?: {_CAP}){{0,2}}
 _STREET_HINT = re.compile("|".join(re.escape(x) for x in sorted({x.lower() for x in [*STREETS, *STREET_ENDS, *STREETS_BEFORE, *STREETS_FRENCH, *BOXES]}, key=len, reverse=True)))
 #: Texts without this hold no name of two words.
 _NAME_HINT = re.compile(rf"[{_U}][\w.'’\-]*,? (?:(?:{'|'.join(PARTICLES)}) )*[{_U}]")
+#: What may follow a street: a unit, and a town with its code.
+_REST = re.compile(rf"[,.]?[ \n](?:(?:Apt|Unit|Flat|Suite)\.? \d+[A-Za-z]?)?,? ?(?:(?:in |à )?\d{{4,5}} {_CAP}|{_CAP},? \d{{4,5}}|\d{{4,5}})?")
 TITLED = re.compile(rf"{_EDGE}(?:{'|'.join(FORMS_OF_ADDRESS)})\.? (?:{_CAP} |{_INITIAL} ?)?(?:{_PART})?(?:{_CAP}|{_ALL}){_END}")
 _TITLE = re.compile(rf"(?:{'|'.join(FORMS_OF_ADDRESS)})\.? ")
 FULL = re.compile(rf"{_EDGE}(?:{_CAP}|{_INITIAL})(?: ?{_INITIAL})* (?:{_PART}|(?:{_CAP}|{_INITIAL}) ){{0,2}}{_CAP}{_END}")
@@ -154,23 +166,63 @@ def _name_parts(text: str) -> tuple[str, str]:
 
 
 _DIGITS = re.compile(r"\d+")
+#: Letters that match others without case; a dotted capital I in small letters is an i and a mark.
+_FOLD = str.maketrans({"ı": "i", "İ": "i", "ſ": "s", "K": "k", "\u0307": None})
 
 
-def _near_digits(text: str) -> list[tuple[int, int]]:
-    """Stretches around the digits of a text that hold any address with such a number whole."""
+def may_have_email(text: str, low: str) -> bool:
+    """Whether an email address is possible; ``low`` is the text in small letters."""
+    return "@" in text or "at" in low and (" at " in low and " dot " in low or _AT_HINT.search(low) is not None)
+
+
+def may_be_spoken(low: str, digits: int) -> bool:
+    """Whether a number in words is possible: it has seven digits or digit words. ``digits`` counts the text's digits."""
+    if not low.isascii():
+        low = low.translate(_FOLD)
+    n = digits
+    for w in DIGIT_WORDS:
+        if w in low:
+            n += low.count(w)
+    return n >= 7
+
+
+def near_numbers(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches of ``REACH`` words on both sides of each run of digits, merged where they meet.
+
+    Address forms hold a number and join words by single blanks, so each lies in one of these whole.
+    """
     out: list[list[int]] = []
-    for m in _DIGITS.finditer(text):
-        a, b = max(0, m.start() - 60), min(len(text), m.end() + 80)
+    for start, end in runs:
+        a, b = start, end - 1
+        for _ in range(REACH):
+            a = text.rfind(" ", 0, a)
+            if a < 0:
+                break
+        for _ in range(REACH):
+            b = text.find(" ", b + 1)
+            if b < 0:
+                b = len(text)
+                break
+        a += 1
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
-    for x in out:
-        while x[1] < len(text) and not text[x[1]].isspace():
-            x[1] += 1
     return [(a, b) for a, b in out]
 
 
+def numbers(text: str, runs: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """All matches of ``NUMBER``, looked for only where one can start: at most four signs before a run of digits."""
+    at = 0
+    for start, _ in runs:
+        for i in range(max(at, start - 4), start + 1):
+            m = NUMBER.match(text, i)
+            if m:
+                yield m
+                at = m.end()
+                break
+
+
 _NO_NAME = frozenset(ARTICLES) | frozenset(STARTERS)
 _LAST_WORD = re.compile(r"([^\W\d_]+)['’]? ?\Z")
 
@@ -193,7 +245,8 @@ def _refuted(text: str, a: int, b: int) -> bool:
 def candidates(text: str) -> list[tuple]:
     """(start, end, kind or group, seed, near, alt, refuted, given name, family name, patterns) of all candidates of a text.
 
-    The group of a candidate that needs its context is ``number``, ``name`` or ``place``.
+    The group of a candidate that needs its context is ``number``, ``name``, ``place`` or ``mail``.
+    The whole text is searched; what is skipped cannot hold a case of the kind.
     ``near``: it touches another certain case; ``alt``: the span without its first word is a candidate too.
     """
     taken: list[tuple[int, int]] = []
@@ -208,26 +261,34 @@ def candidates(text: str) -> list[tuple]:
         out.append((a, b, kind, seed, near, alt, named and _refuted(text, a, b), *(_name_parts(text[a:b]) if named else ("", "")), _around(text, a, b)))
 
     sure: list[tuple[int, int]] = []
-    taken += [m.span() for m in URL.finditer(text)] if "://" in text or "www." in text else []
-    low = text.lower() if "at" in text or "AT" in text else text
-    if "@" in text or " at " in low or "at]" in low or "at)" in low or "at}" in low or "at>" in low:
+    low = text.lower()
+    taken += [m.span() for m in URL.finditer(text)] if "://" in low or "www." in low else []
+    if may_have_email(text, low):
         for m in EMAIL.finditer(text):
             if free(*m.span()):
                 put(*m.span(), "email", True)
                 taken.append(m.span())
-    if any(c.isdigit() for c in text):
-        places = _near_digits(text)
-        streets = [(a, b) for a, b in places if _STREET_HINT.search(text[a:b].lower())]
+    if " at " in low and "." in low:
+        for m in LOOSE_EMAIL.finditer(text):
+            if free(*m.span()):
+                put(*m.span(), "mail", False)
+    runs = [m.span() for m in _DIGITS.finditer(text)]
+    streets = []
+    if runs:
+        places = near_numbers(text, runs)
+        streets = [(a, b) for a, b in places if _STREET_HINT.search(text[a:b].lower().translate(_FOLD))]
         for m in (m for a, b in streets for m in ADDRESS.finditer(text, a, b)):
             if free(*m.span()):
                 put(*m.span(), "address", True)
-                rest = re.match(rf"[,.]?[ \n](?:(?:Apt|Unit|Flat|Suite)\.? \d+[A-Za-z]?)?,? ?(?:(?:in |à )?\d{{4,5}} {_CAP}|{_CAP},? \d{{4,5}}|\d{{4,5}})?", text[m.end() : m.end() + 60])
-                taken.append((m.start(), m.end() + (rest.end() if rest else 0)))
-        for m in (m for a, b in places for m in SPOKEN.finditer(text, a, b)):
+                rest = _REST.match(text, m.end())
+                taken.append((m.start(), rest.end() if rest else m.end()))
+    if may_be_spoken(low, sum(b - a for a, b in runs)):
+        for m in SPOKEN.finditer(text):
             if free(*m.span()) and not m[0].replace(" ", "").isdigit():
                 put(*m.span(), "phone", True)
                 taken.append(m.span())
-        for m in (m for a, b in places for m in NUMBER.finditer(text, a, b)):
+    if runs:
+        for m in numbers(text, runs):
             a, b = m.span()
             while text[b - 1] in " (-./:":
                 b -= 1
@@ -285,9 +346,6 @@ def candidates(text: str) -> list[tuple]:
 
 _CANDIDATE = "id string, field_name string, start_pos long, end_pos long, kind string, seed boolean, near boolean, alt boolean, refuted boolean, given string, family string, patterns array<string>"
 _COLUMNS = ["id", "field_name", "start_pos", "end_pos", "kind", "seed", "near", "alt", "refuted", "given", "family", "patterns"]
-#: Texts without any of these hold no candidate.
-_HINT = re.compile(rf"[\d@]|[\[(<{{] ?at ?[\])>}}]| dot |{_NAME_HINT.pattern}")
-
 
 def find_candidates(posts: DataFrame) -> DataFrame:
     """All candidates of ``id, title, selftext`` posts; one narrow pass."""
@@ -297,25 +355,51 @@ def find_candidates(posts: DataFrame) -> DataFrame:
             rows = []
             for key, title, body in zip(batch["id"], batch["title"], batch["selftext"]):
                 for name, text in (("title", title), ("selftext", body)):
-                    if text and _HINT.search(text):
+                    if text:
                         rows += [(key, name, *c) for c in candidates(text)]
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return posts.select("id", "title", "selftext").mapInPandas(run, _CANDIDATE)
 
 
+def _keyed(found: DataFrame) -> DataFrame:
+    """Candidates with a number of their own and their patterns as hashes, each within the candidate's group."""
+    group = F.when(F.col("kind").isin("phone", "id_number", "number"), "number").when(F.col("kind").isin("address", "place"), "place").when(F.col("kind").isin("email", "mail"), "mail").otherwise(F.lit("name"))
+    keyed = found.withColumn("grp", group).withColumn("cid", F.xxhash64("id", "field_name", "start_pos", "end_pos"))
+    return keyed.withColumn("patterns", F.transform("patterns", lambda x: F.xxhash64(F.col("grp"), x)))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, value: str, total: int) -> DataFrame:
+    """``rows`` with ``value`` of their key, null where there is none, whatever the number of rows of one key.
+
+    Frequent keys (fewer than ``FREQUENT``) are broadcast. All other rows are shuffled by their
+    key; those that have none, or found it already, by their own number.
+    """
+    often = table.filter(F.col("seen") > F.lit(total / FREQUENT)).select(key, F.col(value).alias("_often"))
+    rare = table.filter(F.col("seen") <= F.lit(total / FREQUENT)).select(F.col(key).alias("_key"), F.col(value).alias("_rare"))
+    first = rows.join(F.broadcast(often), key, "left")
+    first = first.withColumn("_key", F.when(F.col("_often").isNull() & (F.col(key) != ""), F.col(key)).otherwise(F.concat(F.lit("\u0000"), F.col("cid").cast("string"))))
+    return first.join(rare, "_key", "left").withColumn(value, F.coalesce("_often", "_rare")).drop("_often", "_rare", "_key")
+
+
+def _with_patterns(edges: DataFrame, patterns: DataFrame, total: int) -> DataFrame:
+    """Edges joined with their patterns; frequent patterns are broadcast, so none loads one task."""
+    often = F.broadcast(patterns.filter(F.col("seen") > F.lit(total / FREQUENT)))
+    rare = patterns.filter(F.col("seen") <= F.lit(total / FREQUENT))
+    return edges.join(often, "pattern").unionByName(edges.join(often.select("pattern"), "pattern", "left_anti").join(rare, "pattern"))
+
+
 def learn(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scored candidates (``score``, ``as_kind``), pattern scores and given-name scores.
+    """Scored candidates (``score``, ``as_kind``), pattern scores and given-name scores, from ``_keyed`` candidates.
 
     Each round aggregates patterns and name parts over all candidates and scores all candidates
-    by them; the scores are written between rounds.
+    by them, seeds included: their form gives them ``SEED``, their context the rest. Scores are written between rounds.
     """
-    group = F.when(F.col("kind").isin("phone", "id_number", "number"), "number").when(F.col("kind").isin("address", "place"), "place").when(F.col("kind") == "name", "name")
-    base = found.filter(F.col("kind") != "email").withColumn("grp", group).withColumn("cid", F.xxhash64("id", "field_name", "start_pos", "end_pos"))
     start = F.when(F.col("seed"), 1.0).when(F.col("near") & ~F.col("refuted"), 0.8).otherwise(0.0)
-    as_kind = F.when(F.col("grp") == "place", "address").when(F.col("kind") == "number", F.lit(None).cast("string")).otherwise(F.col("kind"))
-    base = base.withColumn("score", start).withColumn("as_kind", as_kind)
-    state = cut(base, "candidates")
+    as_kind = F.when(F.col("grp") == "place", "address").when(F.col("grp") == "mail", "email").when(F.col("kind") == "number", F.lit(None).cast("string")).otherwise(F.col("kind"))
+    state = found.withColumn("score", start).withColumn("as_kind", as_kind)
+    size = found.agg(F.sum(F.size("patterns")).alias("edges"), F.count_if(F.col("grp") == "name").alias("names")).first()
+    n_edges, n_names = size["edges"] or 0, size["names"]
     won = F.when(F.col("score") >= ACCEPT, F.col("score")).otherwise(F.lit(0.0))
     # What is not accepted counts against a pattern: fully, or a little where nothing speaks against a name.
     lost = F.when(F.col("score") >= ACCEPT, 0.0).when((F.col("grp") == "name") & ~F.col("refuted"), OPEN).otherwise(1.0)
@@ -324,79 +408,96 @@ def learn(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame,
         counts = edges.groupBy("grp", "pattern", F.when(won > 0, F.col("as_kind")).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(won).alias("won"), F.sum(lost).alias("lost"))
         total = counts.groupBy("grp", "pattern").agg(F.sum("n").alias("n"), F.sum("won").alias("all"), F.sum("lost").alias("lost"), F.max(F.when(F.col("k").isNotNull(), F.struct("won", "k"))).alias("best"))
         p = F.col("best.won") / (F.col("all") + F.col("lost") + DOUBT)
-        patterns = total.filter((F.col("n") >= SUPPORT) & F.col("best").isNotNull()).select("grp", "pattern", F.col("best.k").alias("k"), p.alias("p"))
+        patterns = total.filter((F.col("n") >= SUPPORT) & F.col("best").isNotNull()).select("grp", "pattern", F.col("best.k").alias("k"), p.alias("p"), F.col("n").alias("seen"))
         patterns = cut(patterns.filter("p > 0.15"), "patterns")
         parts = state.filter("grp = 'name' and not alt")
         share = F.sum(won) / (F.sum(won) + F.sum(lost) + DOUBT)
         given = cut(parts.filter("given <> ''").groupBy("given").agg(share.alias("g"), F.count(F.lit(1)).alias("seen")).filter("g > 0.2"), "given_names")
-        family = parts.groupBy("family").agg(share.alias("f")).filter("f > 0.2")
-        heard = edges.filter(~F.col("seed")).join(patterns, ["grp", "pattern"]).groupBy("cid", "k").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("p"), F.lit(0.98)))))).alias("s"), F.max("p").alias("top"))
+        family = cut(parts.groupBy("family").agg(share.alias("f"), F.count(F.lit(1)).alias("seen")).filter("f > 0.2"), "family_names")
+        heard = _with_patterns(edges.select("cid", "pattern"), patterns.select("pattern", "k", "p", "seen"), n_edges).groupBy("cid", "k").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("p"), F.lit(0.98)))))).alias("s"), F.max("p").alias("top"))
         heard = heard.groupBy("cid").agg(F.max_by(F.struct("k", "s", "top"), "s").alias("h"))
-        scored = state.drop("score", "as_kind").join(heard, "cid", "left").join(given, "given", "left").join(family, "family", "left")
+        scored = _looked_up(_looked_up(state.drop("score", "as_kind").join(heard, "cid", "left"), given, "given", "g", n_names), family, "family", "f", n_names)
         by_context = F.coalesce(F.greatest(F.col("h.top"), F.col("h.s") * 0.8), F.lit(0.0))
         g, f = F.coalesce("g", F.lit(0.0)), F.coalesce("f", F.lit(0.0))
         by_name = F.greatest(g * 0.9 + 0.1 * f, 0.5 * by_context + 0.5 * F.greatest(g, f), 0.6 * g + 0.5 * f)
         name = F.greatest(F.when(F.col("near"), 0.8).otherwise(0.0), by_context * 0.95, by_name)
         name = F.when(F.col("refuted"), 0.0).when(F.col("alt") & (g >= 0.5), F.lit(0.995)).when(F.col("alt"), F.least(name, 0.1 + g)).otherwise(F.least(F.lit(0.99), name))
-        score = F.when(F.col("seed"), 1.0).when(F.col("grp") == "name", name).otherwise(by_context)
-        kind = F.when(F.col("seed"), F.col("kind")).when(F.col("grp") == "number", F.col("h.k")).when(F.col("grp") == "place", F.lit("address")).otherwise(F.lit("name"))
-        state = cut(scored.select(*base.drop("score", "as_kind").columns, score.alias("score"), kind.alias("as_kind")), "candidates")
+        score = F.when(F.col("seed"), SEED + (1 - SEED) * by_context).when(F.col("grp") == "name", name).otherwise(by_context)
+        kind = F.when(F.col("seed"), F.col("kind")).when(F.col("grp") == "number", F.col("h.k")).when(F.col("grp") == "place", F.lit("address")).when(F.col("grp") == "mail", F.lit("email")).otherwise(F.lit("name"))
+        state = cut(scored.select(*found.columns, score.alias("score"), kind.alias("as_kind")), "candidates")
     return state, patterns, given
 
 
+def _name_blocks(given: DataFrame) -> Iterator[frozenset]:
+    """Learned given names in blocks of ``NAMES_AT_ONCE``, read one partition at a time; one empty block if there are none."""
+    block: list[str] = []
+    first = True
+    for r in given.filter("g >= 0.6 and seen >= 2").select("given").orderBy("given").toLocalIterator():
+        block.append(r["given"])
+        if len(block) == NAMES_AT_ONCE:
+            yield frozenset(block)
+            block, first = [], False
+    if block or first:
+        yield frozenset(block)
+
+
 def find_learned_names(posts: DataFrame, given: DataFrame) -> DataFrame:
-    """Candidates that start with a learned given name in small or capital letters: ``find_candidates`` rows."""
-    rows = given.filter("g >= 0.6 and seen >= 2").select("given").limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} given names")
-    known = frozenset(r["given"] for r in rows)
-    shared = posts.sparkSession.sparkContext.broadcast(known)
+    """Candidates that start with a learned given name in small or capital letters: ``find_candidates`` rows.
+
+    Names travel to the tasks in blocks of bounded size, each against all texts.
+    """
     word = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
     after = re.compile(rf" (?:(?:{'|'.join(PARTICLES)}) |[^\W\d_]\.? )?({word})(?![\w@.]*@)", re.I)
     split = re.compile(word)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = shared.value
-        for batch in batches:
-            rows = []
-            for key, title, body in zip(batch["id"], batch["title"], batch["selftext"]):
-                for field, text in (("title", title), ("selftext", body)):
-                    if not text or names.isdisjoint(split.findall(text.lower())):
-                        continue
-                    mail = [m.span() for m in EMAIL.finditer(text)]
-                    for m in split.finditer(text):
-                        if m[0].lower() in names and not (m[0][0].isupper() and m[0][1:].islower()):
-                            n = after.match(text, m.end())
-                            if n and len(n[1]) > 2 and not any(a < n.end() and m.start() < b for a, b in mail):
-                                rows.append((key, field, m.start(), n.end(), "name", False, False, False, _refuted(text, m.start(), n.end()), m[0].lower(), n[1].lower(), _around(text, m.start(), n.end())))
-            yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    return posts.select("id", "title", "selftext").mapInPandas(run, _CANDIDATE)
+    out: DataFrame | None = None
+    for known in _name_blocks(given):
+        shared = posts.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names = shared.value
+            for batch in batches:
+                rows = []
+                for key, title, body in zip(batch["id"], batch["title"], batch["selftext"]):
+                    for field, text in (("title", title), ("selftext", body)):
+                        if not text or names.isdisjoint(split.findall(text.lower())):
+                            continue
+                        mail = [m.span() for m in EMAIL.finditer(text)] if may_have_email(text, text.lower()) else []
+                        for m in split.finditer(text):
+                            if m[0].lower() in names and not (m[0][0].isupper() and m[0][1:].islower()):
+                                n = after.match(text, m.end())
+                                if n and len(n[1]) > 2 and not any(a < n.end() and m.start() < b for a, b in mail):
+                                    rows.append((key, field, m.start(), n.end(), "name", False, False, False, _refuted(text, m.start(), n.end()), m[0].lower(), n[1].lower(), _around(text, m.start(), n.end())))
+                yield pd.DataFrame(rows, columns=_COLUMNS)
+
+        part = posts.select("id", "title", "selftext").mapInPandas(run, _CANDIDATE)
+        out = part if out is None else out.unionByName(part)
+    assert out is not None
+    return out
 
 
-def _score_by(rows: DataFrame, patterns: DataFrame, state: DataFrame) -> DataFrame:
+def _score_by(rows: DataFrame, patterns: DataFrame, state: DataFrame, n_edges: int) -> DataFrame:
     """Late name candidates that a confident pattern or a known family name supports."""
-    keyed = rows.withColumn("cid", F.xxhash64("id", "field_name", "start_pos", "end_pos"))
-    context = keyed.select("cid", F.explode("patterns").alias("pattern")).join(patterns.filter("grp = 'name'"), "pattern").groupBy("cid").agg(F.max("p").alias("top"))
-    family = state.filter(f"grp = 'name' and score >= {ACCEPT}").select("family").distinct().withColumn("known", F.lit(0.8))
-    scored = keyed.join(context, "cid", "left").join(family, "family", "left")
+    edges = rows.select("cid", F.explode("patterns").alias("pattern"))
+    context = _with_patterns(edges, patterns.select("pattern", "p", "seen"), n_edges).groupBy("cid").agg(F.max("p").alias("top"))
+    family = state.filter(f"grp = 'name' and score >= {ACCEPT}").groupBy("family").agg(F.lit(0.8).alias("known"), F.count(F.lit(1)).alias("seen"))
+    scored = _looked_up(rows.join(context, "cid", "left"), family, "family", "known", n_edges)
     return scored.withColumn("score", F.when(F.col("refuted"), 0.0).otherwise(F.greatest(F.coalesce("top", F.lit(0.0)), F.coalesce("known", F.lit(0.0))))).withColumn("as_kind", F.lit("name"))
 
 
 def personal_spans(posts: DataFrame) -> DataFrame:
     """``id, field_name, kind, start_pos, end_pos, score`` of every case; cases of a text don't overlap."""
-    found = cut(find_candidates(posts), "pii_candidates")
+    found = cut(_keyed(find_candidates(posts)), "pii_candidates")
     state, patterns, given = learn(found)
-    late = _score_by(cut(find_learned_names(posts, given), "pii_names"), patterns, state)
-    columns = ["id", "field_name", F.col("as_kind").alias("kind"), "start_pos", "end_pos", "score"]
-    mail = found.filter("kind = 'email'").select("id", "field_name", "kind", "start_pos", "end_pos", F.lit(1.0).alias("score"))
+    rows = cut(_keyed(find_learned_names(posts, given)), "pii_names")
+    late = _score_by(rows, patterns, state, rows.agg(F.sum(F.size("patterns")).alias("n")).first()["n"] or 0)
+    columns = ["id", "field_name", F.col("as_kind").alias("kind"), "start_pos", "end_pos", "score", "seed"]
     best = state.filter(F.col("as_kind").isNotNull() & (F.col("score") >= ACCEPT)).select(*columns)
-    best = best.unionByName(late.filter(F.col("score") >= ACCEPT).select(*columns)).unionByName(mail)
+    best = best.unionByName(late.filter(F.col("score") >= ACCEPT).select(*columns))
     # Cases of one text: the number is bounded by the text. Seeds first, then higher scores, then longer ones.
-    of_text = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), (F.col("start_pos") - F.col("end_pos")).alias("len"), "start_pos", "end_pos", "kind")))
+    of_text = F.sort_array(F.collect_list(F.struct((~F.col("seed")).alias("open"), (-F.col("score")).alias("o"), (F.col("start_pos") - F.col("end_pos")).alias("len"), "start_pos", "end_pos", "kind")))
     keep = F.aggregate(
         "all",
-        F.expr("cast(array() as array<struct<o:double,len:bigint,start_pos:bigint,end_pos:bigint,kind:string>>)"),
+        F.expr("cast(array() as array<struct<open:boolean,o:double,len:bigint,start_pos:bigint,end_pos:bigint,kind:string>>)"),
         lambda acc, x: F.when(F.exists(acc, lambda y: (y["start_pos"] < x["end_pos"]) & (x["start_pos"] < y["end_pos"])), acc).otherwise(F.concat(acc, F.array(x))),
     )
     one = best.groupBy("id", "field_name").agg(of_text.alias("all")).select("id", "field_name", F.explode(keep).alias("c"))

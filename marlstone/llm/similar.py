@@ -12,8 +12,8 @@ nearest direction and recomputes directions, which drops what has too few member
 Unusable vectors (null, other length, null, NaN or infinite entries, all zero) are in no group. Of
 repeated ids the usable row with the least row number counts. Empty input gives empty results.
 
-Limit: a group must stand out in some grid, so among n vectors without structure a group of a few
-rows is found only while n is at most some hundred times its size.
+Limit: some cell of some grid must hold two members of a group at least and few other vectors, so among very many
+vectors without structure a group of a few rows may be missed; the README gives measured shares.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ PER_CELL = 4
 FINER = (0, 3)
 #: Least cosine of a member to its group's mean direction, least members of a group.
 MEMBER, LEAST = 0.65, 8
-#: Least mean cosine between the vectors of a dense cell, and how many standard errors of chance are added to it.
-COHERENT, ERRORS = 0.25, 3.0
+#: Least mean cosine between the vectors of a dense cell, and how many standard errors of chance are added to it: for two vectors, for more.
+COHERENT, ERRORS_TWO, ERRORS = 0.25, 3.5, 3.0
 #: Dense cells are joined only if their mean directions are at least so close; directions closer than ``SAME`` are one group.
 ALIKE, SAME = 0.9, 0.9
 #: Least members that joined cells of different grids share.
@@ -140,14 +140,14 @@ def _cosine(a: Column, b: Column) -> Column:
 
 
 def dense_cells(codes: DataFrame, vectors: DataFrame, bits: int, dim: int = DIM) -> DataFrame:
-    """``grp, grid, cell, n, total`` of cells with more than the average of occupied cells (3 at least) and like directions.
+    """``grp, grid, cell, n, total`` of cells with more than the average of occupied cells (2 at least) and like directions.
 
     Vectors that share a cell share signs, so their mean cosine is above 0 by chance; few vectors
     may exceed that by chance too. Both are asked for on top.
     """
     counts = cut(codes.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
     mean = counts.agg(F.avg("n").alias("m")).first()["m"] or 0
-    full = cut(counts.filter(F.col("n") >= max(3, math.ceil(mean))).withColumn("grp", F.xxhash64("grid", "cell")), "full_cells")
+    full = cut(counts.filter(F.col("n") >= max(2, math.ceil(mean))).withColumn("grp", F.xxhash64("grid", "cell")), "full_cells")
     members = codes.join(full.select("grid", "cell", "grp"), ["grid", "cell"]).select("id", "grp").join(vectors.select("id", "vec"), "id").select("grp", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def dense_cells(codes: DataFrame, vectors: DataFrame, bits: int, dim: int = DIM)
     pairs = F.col("n") * (F.col("n") - 1)
     likeness = (dot(F.col("total"), F.col("total")) - F.col("n")) / pairs
     limit = max(COHERENT, 2 * bits / (math.pi * dim) + 0.1)
-    chance = F.lit(ERRORS / math.sqrt(dim)) / F.sqrt(pairs / 2)
+    chance = F.when(F.col("n") == 2, ERRORS_TWO).otherwise(ERRORS) / F.sqrt(F.lit(dim) * pairs / 2)
     return cut(full.join(sums, "grp").filter(likeness >= limit + chance), "dense_cells")
 
 

@@ -41,6 +41,60 @@ def test_no_certain_form(text):
     assert not [c for c in personal.candidates(text) if c[3]]
 
 
+@pytest.mark.parametrize(
+    "text, kind, start",
+    [
+        ("call zero two oh five five five one two three four tonight.", "phone", 5),
+        ("call zero two oh five five five one two three four tonight. " + "and so on " * 20 + "7", "phone", 5),
+        ("RING SEVEN SEVEN OH NINE ONE TWO THREE", "phone", 5),
+        ("ring ſeven ſeven oh nıne one two three", "phone", 5),
+        ("JANE.ROE [AT] MAIL [DOT] EXAMPLE", "email", 0),
+        ("jane AT mail DOT example", "email", 0),
+        ("so: jane At mail Dot example", "email", 4),
+        ("by 12 " + "Ros" + "e" * 90 + " Garden Lane now", "address", 3),
+        ("Calle de la Virgen Siete Revueltas Mayores, nº 12", "address", 0),
+    ],
+)
+def test_whole_texts_are_searched(text, kind, start):
+    assert (start, kind) in {(c[0], c[2]) for c in personal.candidates(text) if c[3]}
+
+
+WORDS = (
+    "12 3a 007 Flat Apt no. N. Rose Green Lane Street st. Calle de la del Via rue du bis Garden PO Box P.O. Postfach Rosenstraße weg 5,Rome n.º É Mr. Dr Señora M. van VON DYKE, Anna J. O'Neil McKay "
+    "one two ONE oh sıx ſeven at AT [at] (AT) dot DOT [dot] mail.example jane @ a@b.co +44 (212) 555-0147 1:2 . , ( - \n \t C/ x".split(" ")
+)
+
+
+def test_prefilters_lose_nothing():
+    rnd = random.Random(11)
+    for _ in range(4000):
+        text = "".join(rnd.choice(WORDS) + rnd.choice([" "] * 6 + ["", "\n", "  ", "-"]) for _ in range(rnd.randint(1, 40)))
+        low = text.lower()
+        runs = [m.span() for m in personal._DIGITS.finditer(text)]
+        spans = lambda rx, parts: [m.span() for a, b in parts for m in rx.finditer(text, a, b)]
+        near = personal.near_numbers(text, runs)
+        hinted = [(a, b) for a, b in near if personal._STREET_HINT.search(text[a:b].lower().translate(personal._FOLD))]
+        whole = [(0, len(text))]
+        assert spans(personal.ADDRESS, hinted) == spans(personal.ADDRESS, whole), text
+        assert spans(personal.LOOSE_ADDRESS, hinted) == spans(personal.LOOSE_ADDRESS, whole), text
+        assert spans(personal.NUMBERED_NAME, near) == spans(personal.NUMBERED_NAME, whole), text
+        assert [m.span() for m in personal.numbers(text, runs)] == spans(personal.NUMBER, whole), text
+        assert personal.may_have_email(text, low) or not personal.EMAIL.search(text), text
+        assert personal.may_be_spoken(low, sum(b - a for a, b in runs)) or not personal.SPOKEN.search(text), text
+        assert personal._NAME_HINT.search(text) or not any(rx.search(text) for rx in (personal.TITLED, personal.FULL, personal.REVERSED)), text
+
+
+def test_seeds_and_emails_are_scored_in_the_graph(spark, monkeypatch):
+    rows = [(f"write me at once: jo{i}@mail.example please", None) for i in range(40)] + [("write me at once: ann at mail.example please", "look at news.example for more")]
+    got = personal.personal_spans(posts(spark, rows)).toPandas()
+    assert len(got) == 41 and set(got["kind"]) == {"email"} and (got["field_name"] == "title").all()
+    assert got["score"].between(0.9, 1).all() and (got["score"] < 1).any()
+    monkeypatch.setattr(personal, "NAMES_AT_ONCE", 1)
+    names = spark.createDataFrame([("anna", 0.9, 5), ("kofi", 0.9, 5), ("low", 0.1, 9)], "given string, g double, seen long")
+    late = personal.find_learned_names(posts(spark, [("by anna smith and KOFI MENSAH", "low hanging fruit")]), names)
+    assert {(r["start_pos"], r["given"]) for r in late.collect()} == {(3, "anna"), (18, "kofi")}
+
+
 GIVEN, FAMILY = "Anna Kofi Zoe Peter Mei Nadia".split(), "Tassaby Ruvoldt Lorritz Pennova Kellen Haskorn Zellby Marrick".split()
 
 

@@ -53,10 +53,30 @@ def test_unusable_and_empty(spark):
     assert usable.count() == len(x)
 
 
-def test_components_are_catchment_areas(spark):
-    codes = spark.createDataFrame([(str(i), 0, c) for i, c in enumerate([0] * 9 + [1] * 5 + [3] * 4 + [12] * 6 + [8] * 4 + [15])], "id string, grid int, cell long")
-    got = {r["cell"]: r["label"] for r in similar.dense_components(codes, 4, 3).collect()}
-    assert got == {0: 0, 1: 0, 3: 0, 8: 0, 12: 8} or got[12] != got[3]
+def test_adjacent_dense_cells_of_like_direction_are_joined(spark):
+    from marlstone.operators.components import components
+
+    one, two = [1.0] + [0.0] * 63, [0.0] * 63 + [1.0]
+    held = [(0, 9, one), (1, 5, one), (3, 4, one), (2, 6, two), (12, 6, two), (8, 4, two), (15, 1, one)]
+    rows = [(f"{c}-{i}", 0, c, v) for c, n, v in held for i in range(n)]
+    codes = spark.createDataFrame([r[:3] for r in rows], "id string, grid int, cell long")
+    unit = spark.createDataFrame([(r[0], r[3]) for r in rows], "id string, vec array<float>")
+    dense = similar.dense_cells(codes, unit, 4)
+    of = {r["grp"]: r["cell"] for r in dense.collect()}
+    assert set(of.values()) == {0, 1, 2, 12, 8, 3} - {c for c, n, _ in held if n < 5}
+    links = {tuple(sorted((of[r["a"]], of[r["b"]]))) for r in similar.cell_links(dense, codes, 4).collect()}
+    assert links == {(0, 1)}  # 0 and 2 are adjacent, but point apart
+    assert components(similar.cell_links(dense, codes, 4)).count() == 2
+
+
+def test_cells_without_common_direction_are_not_dense(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    unit = spark.createDataFrame([(f"p{i}", v.tolist()) for i, v in enumerate(x)], "id string, vec array<float>")
+    for bits, finer in ((10, 0), (13, 3)):
+        assert similar.dense_cells(similar.cell_codes(unit, bits), unit, bits).count() <= 4
+    assert len(similar.candidate_directions(unit, 4000)) <= 4
 
 
 POSTS = "id string, title string, selftext string, label string, lang string"
