@@ -23,6 +23,8 @@ from marlstone.session import cut
 FINENESS = 4
 #: Hash buckets of light keys per task.
 BUCKETS = 8
+#: A key of a table with one row per key is frequent above 1 / FREQUENT of the rows that it joins.
+FREQUENT = 4000
 
 
 @dataclass(frozen=True)
@@ -165,6 +167,18 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, spread_by: list[s
     return fragments.join(copies, ["_fr_task", "_fr_shard", key], how).drop("_fr_task", "_fr_shard")
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join with a table of one row per key, whose ``weight`` is the number of left rows of the key.
+
+    Keys with more than 1 / ``FREQUENT`` of ``total`` left rows, of which there are fewer than
+    ``FREQUENT``, are broadcast; all others are shuffled, so no task gets more than that share of a key.
+    """
+    often = right.filter(F.col(weight) > F.lit(total / FREQUENT))
+    seldom = right.filter(F.col(weight) <= F.lit(total / FREQUENT))
+    rest = left.join(F.broadcast(often.select(key)), key, "left_anti")
+    return left.join(F.broadcast(often), key).unionByName(rest.join(seldom, key))
+
+
 def heavy_keys(stats: DataFrame, key: str, share: float) -> DataFrame:
     """Keys of ``balanced_stats`` that hold at least ``share`` of all rows; null is no key.
 
