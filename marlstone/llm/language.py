@@ -21,6 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import cut, spread
+
+#: Languages told apart unless others are asked for: those that the labels of the collection name.
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt")
 #: Other spellings of the languages.
 SPELLINGS = {
@@ -91,21 +94,22 @@ def words(sentence: str) -> list[str]:
 class LanguageModel:
     """Log frequencies of words and n-grams in each language, centred over languages."""
 
-    def __init__(self, counts: dict[str, np.ndarray]) -> None:
-        total = np.sum(list(counts.values()), axis=0) + 1.0 if counts else np.ones(len(LANGUAGES))
-        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGUAGES)))
+    def __init__(self, counts: dict[str, np.ndarray], languages: tuple[str, ...] = LANGUAGES) -> None:
+        self.languages, size = languages, len(languages)
+        total = np.sum(list(counts.values()), axis=0) + 1.0 if counts else np.ones(size)
+        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size))
         share = {w: c / total for w, c in counts.items()}
         for w, c in share.items():
             # Each word type weighs by the root of its frequency, so that a few words don't fill the n-grams.
             for g in set(ngrams(w)):
                 grams[g] += np.sqrt(c)
         floor = 0.5 / total.max()
-        mass = np.sum(list(grams.values()), axis=0) + 1e-9 if grams else np.ones(len(LANGUAGES))
+        mass = np.sum(list(grams.values()), axis=0) + 1e-9 if grams else np.ones(size)
         self.grams = {g: self._centred(v / mass, 1e-6) for g, v in grams.items()}
         known = [w for w, c in counts.items() if c.sum() >= KNOWN]
         self.fixed = len(known)
         self.index = {w: i for i, w in enumerate(known)}
-        self.table = np.array([self._centred(share[w], floor) for w in known], np.float32).reshape(-1, len(LANGUAGES))
+        self.table = np.array([self._centred(share[w], floor) for w in known], np.float32).reshape(-1, size)
 
     @staticmethod
     def _centred(x: np.ndarray, floor: float) -> np.ndarray:
@@ -123,17 +127,17 @@ class LanguageModel:
                 self.table = self.table[: self.fixed]
                 return self.rows(ws)
             self.index |= {w: len(self.table) + k for k, w in enumerate(new)}
-            self.table = np.concatenate([self.table, np.array([self._backoff(w) for w in new], np.float32).reshape(-1, len(LANGUAGES))])
+            self.table = np.concatenate([self.table, np.array([self._backoff(w) for w in new], np.float32).reshape(-1, len(self.languages))])
             out = [self.index[w] for w in ws]
         return out
 
     def _backoff(self, w: str) -> np.ndarray:
-        padded = f"^{w[:60]}$"
+        padded = f"^{w}$"
         for n in range(LONGEST, SHORTEST - 1, -1):
             found = [self.grams[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in self.grams]
             if found:
                 return (BACKOFF_WEIGHT * np.mean(found, axis=0)).astype(np.float32)
-        return np.zeros(len(LANGUAGES), np.float32)
+        return np.zeros(len(self.languages), np.float32)
 
     def score_many(self, sentences: list[list[str]]) -> tuple[list[int], list[float]]:
         """Best language of each list of words, and its confidence: the softmax of thrice the mean word score."""
@@ -192,12 +196,12 @@ class LanguageModel:
             elif loose is None:
                 loose = a
         if not out and guess is not None:
-            return [(0, len(text or ""), LANGUAGES[best[guess]], round(sure[guess], 4), 0)]
-        return [(a, b, LANGUAGES[lang], round(total / n, 4), longest) for a, b, lang, total, longest, n in out]
+            return [(0, len(text or ""), self.languages[best[guess]], round(sure[guess], 4), 0)]
+        return [(a, b, self.languages[lang], round(total / n, 4), longest) for a, b, lang, total, longest, n in out]
 
 
 def ngrams(word: str) -> Iterator[str]:
-    padded = f"^{word[:60]}$"
+    padded = f"^{word}$"
     for n in range(SHORTEST, LONGEST + 1):
         for i in range(len(padded) - n + 1):
             yield padded[i : i + n]
@@ -222,35 +226,34 @@ def _count_words(model_of, by_label: bool):
             if not by_label:
                 for ws, lang, sure in zip(asked, *model.score_many(asked)):
                     if sure >= SURE:
-                        counts[LANGUAGES[lang]].update(ws)
+                        counts[model.languages[lang]].update(ws)
             yield pd.DataFrame([(w, lang, n) for lang, c in counts.items() for w, n in c.items()], columns=["word", "lang", "n"])
 
     return run
 
 
-def _collect_model(counted: DataFrame) -> LanguageModel:
+def _collect_model(counted: DataFrame, languages: tuple[str, ...]) -> LanguageModel:
     """The model of word counts; their number is bounded by the words of the bounded sample."""
-    table: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGUAGES)))
-    index = {lang: i for i, lang in enumerate(LANGUAGES)}
+    table: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
+    index = {lang: i for i, lang in enumerate(languages)}
     got = counted.groupBy("word", "lang").agg(F.sum("n").alias("n")).orderBy("word", "lang").toArrow()
     for w, lang, n in zip(got["word"].to_pylist(), got["lang"].to_pylist(), got["n"].to_pylist()):
         table[w][index[lang]] += n
-    return LanguageModel(dict(table))
+    return LanguageModel(dict(table), languages)
 
 
-def fit_languages(posts: DataFrame, labels: DataFrame, fit_posts: int = FIT_POSTS) -> LanguageModel:
-    """The model fitted on about ``fit_posts`` posts with a label in ``LANGUAGES``, chosen by hash."""
+def fit_languages(posts: DataFrame, labels: DataFrame, fit_posts: int = FIT_POSTS, languages: tuple[str, ...] = LANGUAGES) -> LanguageModel:
+    """The model fitted on about ``fit_posts`` posts with a label in ``languages``, chosen by hash."""
     spark = posts.sparkSession
-    usable = labels.filter(F.col("label").isin(*LANGUAGES))
+    usable = labels.filter(F.col("label").isin(*languages))
     share = min(1.0, fit_posts / max(1, usable.count()))
     chosen = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
     sample = posts.select("id", "title", "selftext").join(chosen.select("id", "label"), "id").select("label", "title", "selftext")
-    sample = sample.persist()
+    sample = spread(cut(sample, "language_sample"))
     ddl = "word string, lang string, n long"
-    first = _collect_model(sample.mapInPandas(_count_words(None, True), ddl))
+    first = _collect_model(sample.mapInPandas(_count_words(None, True), ddl), languages)
     shared = spark.sparkContext.broadcast(first)
-    second = _collect_model(sample.mapInPandas(_count_words(lambda: shared.value, False), ddl))
-    sample.unpersist()
+    second = _collect_model(sample.mapInPandas(_count_words(lambda: shared.value, False), ddl), languages)
     return second
 
 

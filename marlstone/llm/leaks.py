@@ -24,7 +24,7 @@ from marlstone.session import cut, spread
 
 #: Consecutive words that make a leak.
 WINDOW = 12
-#: Largest number of item words that travel to the tasks as one set; above it, items go in blocks.
+#: Largest number of item words that travel to the tasks as one set (about 12 MB); more items go in further blocks.
 BLOCK_WORDS = 2_000_000
 #: Units that become one placeholder.
 UNITS = frozenset("km m cm mm kg g mg t lb lbs oz l ml ft in mile miles metre metres meter meters gram grams kilogram kilograms litre litres liter liters hour hours minute minutes second seconds day days week weeks month months year years percent euro euros dollar dollars pound pounds cent cents".split())
@@ -43,13 +43,22 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower() if text.isascii() else text.casefold())
 
 
-def name_words(texts: list[str]) -> frozenset[str]:
-    """Words that the items capitalise within a sentence, and never write small: their names."""
-    big, small = set(), set()
-    for t in texts:
-        for m in regex.finditer(r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}]+|\b\p{Ll}[\p{L}]*", t or ""):
-            (big if m[0][0].isupper() else small).add(m[0].casefold())
-    return frozenset(big - small)
+_CASED = regex.compile(r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}]+|\b\p{Ll}[\p{L}]*")
+
+
+def name_words(items: DataFrame, text: str = "text") -> frozenset[str]:
+    """Words that the items capitalise within a sentence, and never write small: their names.
+
+    They are learned once, over all items, whatever the blocks; only the words reach the driver.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = {(m[0].casefold(), m[0][0].isupper()) for t in batch[text] for m in _CASED.finditer(t or "")}
+            yield pd.DataFrame(sorted(seen), columns=["word", "big"])
+
+    cased = items.select(text).filter(F.col(text).isNotNull()).mapInPandas(run, "word string, big boolean")
+    return frozenset(r["word"] for r in cased.groupBy("word").agg(F.bool_and("big").alias("big")).filter("big").select("word").toLocalIterator())
 
 
 def canonical(word: str, names: frozenset[str]) -> str:
@@ -77,38 +86,42 @@ def _windows(words: list[str], names: frozenset[str], size: int) -> Iterator[tup
         yield tuple(shape[i : i + size]), i
 
 
-def _blocks(items: DataFrame, item_key: str, item_text: str) -> list[list[tuple]]:
-    """Items in blocks of at most ``BLOCK_WORDS`` words, read one partition at a time."""
-    blocks: list[list[tuple]] = [[]]
-    size = 0
+def _blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple]]:
+    """Items in blocks of at most ``BLOCK_WORDS`` words, read one partition at a time; one empty block if there are none."""
+    block: list[tuple] = []
+    size, first = 0, True
     for r in items.select(item_key, item_text).filter(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).orderBy(item_key, item_text).toLocalIterator():
         n = len(words_of(r[1]))
         if size and size + n > BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r[0], r[1]))
+            yield block
+            block, size, first = [], 0, False
+        block.append((r[0], r[1]))
         size += n
-    return blocks
+    if block or first:
+        yield block
 
 
 def template_hits(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """One row per (document, item) with a common template window: ``verbatim_windows``,
     ``renamed_windows`` (same template, other but consistent slots) and ``first_word``.
 
-    Items are held-out test sets: they travel to the tasks in blocks of bounded size, each
-    block against all documents, and documents are streamed once per block without a shuffle.
+    Items are held-out test sets: they are broadcast in blocks of bounded size, whose windows are hashed in the tasks;
+    documents are streamed once per block without a shuffle. Results do not depend on the blocks.
     """
     out: DataFrame | None = None
+    context = docs.sparkSession.sparkContext
     parts = spread(docs.select(doc_key, text).filter(F.col(doc_key).isNotNull()))
     kd, ki = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     ddl = f"`{doc_key}` {kd}, `{item_key}` {ki}, verbatim_windows int, renamed_windows int, first_word int"
+    known = context.broadcast(name_words(items, text))
     for block in _blocks(items, item_key, text):
+        shared = context.broadcast(block)
 
-        def run(batches: Iterator[pd.DataFrame], block: list[tuple] = block) -> Iterator[pd.DataFrame]:
-            names = name_words([t for _, t in block])
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names = known.value
             index: dict[tuple[str, ...], list[tuple]] = {}
             vocabulary: set[str] = set()
-            for key, t in block:
+            for key, t in shared.value:
                 ws = words_of(t)
                 for shape, i in _windows(ws, names, size):
                     index.setdefault(shape, []).append((key, ws[i : i + size]))

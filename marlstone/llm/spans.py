@@ -7,7 +7,8 @@ sets; the regions around their shared anchors are the references. Each set is cu
 bounded text. A suffix automaton of a shard is built in a task, and the regions of the set are
 streamed through it: at each character the matching statistic, capped at ``length``, tells which
 reference documents hold the last ``length`` characters. Runs of such characters are the maximal
-shared spans.
+shared spans. Pairs need every shard of a set against every other; spans alone do not, so in sets
+of several shards the hashes of all windows of ``length`` characters are counted, in time linear in the set.
 
 The automata of shards are built where they are used instead of broadcast from the driver, so
 neither their number nor their size is limited by the driver's memory.
@@ -23,9 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.skew import split_join
 from marlstone.session import cut, spread
 
 LENGTH = 400
@@ -215,7 +217,8 @@ def text_classes(docs: DataFrame, key: str, text: str, length: int) -> tuple[Dat
     long = long.withColumn("digest", F.sha2("text", 256))
     classes = long.groupBy("digest").agg(F.min(F.struct("doc", "text")).alias("first"), F.count_distinct("doc").alias("copies"))
     classes = cut(classes.select("digest", F.col("first.doc").alias("rep"), F.col("first.text").alias("text"), "copies"), "text_classes")
-    members = long.select("doc", "digest").join(classes.select("digest", "rep"), "digest").select("doc", "rep").distinct()
+    rows = classes.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    members = split_join(long.select("doc", "digest"), classes.select("digest", "rep", "copies"), "digest", "copies", rows).select("doc", "rep").distinct()
     return classes.drop("digest"), members
 
 
@@ -277,25 +280,64 @@ def _block_batches(length: int):
     return run
 
 
-def shared_between_classes(classes: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Rows ``doc, other`` (pairs) and ``doc, start, end`` (spans) between documents of different text."""
-    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = classes.select("rep", "text").repartition(tasks).mapInArrow(_anchor_batches(length), "key long, doc long, first int, last int")
+def _window_batches(length: int):
+    """Hashes of all windows of ``length`` characters of each piece, with their document and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, start, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                n = len(codes) - length + 1
+                if n < 1:
+                    continue
+                codes = _mix((codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+                prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _power(_INV, len(codes)), dtype=np.uint64)])
+                # A piece starts anywhere in its document, so the hash must not depend on the place.
+                key = _window_hashes(prefix, length).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(n, doc, np.int64)), pa.array(np.arange(start, start + n, dtype=np.int32))], ["key", "doc", "at"])
+
+    return run
+
+
+def _spans_across(pieces: DataFrame, length: int) -> DataFrame:
+    """``doc, start, end`` of runs of windows that more than one document of the pieces holds."""
+    windows = cut(pieces.select("doc", "start", "piece").mapInArrow(_window_batches(length), "key long, doc long, at int"), "windows")
+    held = windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    total = windows.count()
+    places = split_join(windows, held.select("key", "n"), "key", "n", total).select("doc", "at").distinct()
+    order = Window.partitionBy("doc").orderBy("at")
+    new = F.coalesce(F.col("at") - F.lag("at").over(order) > length, F.lit(True)).cast("int")
+    runs = places.withColumn("new", new).withColumn("run", F.sum("new").over(order))
+    return runs.groupBy("doc", "run").agg(F.min("at").alias("start"), (F.max("at") + length).alias("end")).select("doc", "start", "end")
+
+
+def shared_between_classes(classes: DataFrame, length: int = LENGTH, pairs: bool = True) -> DataFrame:
+    """Rows ``doc, other`` (pairs, if wanted) and ``doc, start, end`` (spans) between documents of different text."""
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = spread(classes.select("rep", "text")).mapInArrow(_anchor_batches(length), "key long, doc long, first int, last int")
     found = cut(rows, "anchors")
     sets = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("n > 1")
-    shared = found.join(sets, "key").select(F.xxhash64("n", "x", "lo", "hi").alias("sig"), "doc", "first", "last")
+    shared = split_join(found, sets, "key", "n", found.count()).select(F.xxhash64("n", "x", "lo", "hi").alias("sig"), "doc", "first", "last")
     regions = shared.groupBy("sig", "doc").agg(F.collect_list(F.struct("first", "last")).alias("at"))
     units = regions.join(classes.select(F.col("rep").alias("doc"), "text"), "doc").mapInPandas(_pieces(length), "sig long, doc long, start int, piece string")
     units = cut(units, "regions")
-    loads = units.groupBy("sig").agg(F.ceil(F.sum(F.length("piece")) / SHARD_CHARS).cast("int").alias("shards"))
-    placed = units.join(loads, "sig").withColumn("own", F.pmod(F.xxhash64("doc", "start"), F.col("shards")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("with")
+    loads = cut(units.groupBy("sig").agg(F.ceil(F.sum(F.length("piece")) / SHARD_CHARS).cast("int").alias("shards"), F.count(F.lit(1)).alias("n")), "set_loads")
+    placed = split_join(units, loads, "sig", "n", units.count()).withColumn("own", F.pmod(F.xxhash64("doc", "start"), F.col("shards")).cast("int"))
     one = placed.filter("shards = 1").select("sig", F.lit(0).alias("ref"), F.lit(0).alias("part"), F.lit(2).alias("role"), "doc", "start", "piece")
     many = placed.filter("shards > 1")
-    refs = many.select("sig", F.col("own").alias("ref"), every.alias("part"), F.lit(0).alias("role"), "doc", "start", "piece")
-    streams = many.select("sig", every.alias("ref"), F.col("own").alias("part"), F.lit(1).alias("role"), "doc", "start", "piece")
-    blocks = one.unionByName(refs).unionByName(streams).groupBy("sig", "ref", "part").agg(F.collect_list(F.struct("role", "doc", "start", "piece")).alias("units"))
-    return cut(blocks.select("units").repartition(tasks).mapInPandas(_block_batches(length), "doc long, other long, start int, `end` int"), "shared")
+    blocks = one
+    if pairs:
+        every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("with")
+        refs = many.select("sig", F.col("own").alias("ref"), every.alias("part"), F.lit(0).alias("role"), "doc", "start", "piece")
+        streams = many.select("sig", every.alias("ref"), F.col("own").alias("part"), F.lit(1).alias("role"), "doc", "start", "piece")
+        blocks = one.unionByName(refs).unionByName(streams)
+    # One shuffle to as many tasks as are set: blocks cost far more time than their size in bytes tells.
+    units_of = blocks.repartition(tasks, "sig", "ref", "part").groupBy("sig", "ref", "part").agg(F.collect_list(F.struct("role", "doc", "start", "piece")).alias("units"))
+    out = cut(units_of.select("units").mapInPandas(_block_batches(length), "doc long, other long, start int, `end` int"), "shared")
+    if pairs:
+        return out
+    across = _spans_across(many, length).select("doc", F.lit(None).cast("long").alias("other"), "start", "end")
+    return out.filter(F.col("other").isNull()).unionByName(across)
 
 
 def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -311,7 +353,7 @@ def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
 def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Per document: ``n_chars, shared_chars, share, copies``; a text with copies is shared whole."""
     classes, members = text_classes(docs, key, text, length)
-    spans = shared_between_classes(classes, length).filter(F.col("other").isNull()).select("doc", "start", "end")
+    spans = shared_between_classes(classes, length, pairs=False).select("doc", "start", "end")
     merged = spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
     empty = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("chars"))
     total = F.aggregate(
@@ -321,7 +363,7 @@ def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     )["chars"]
     covered = merged.select(F.col("doc").alias("rep"), total.alias("covered"))
     own = classes.select("rep", "copies").join(covered, "rep", "left")
-    per_doc = members.join(own, "rep").withColumnRenamed("doc", "_m")
+    per_doc = split_join(members, own, "rep", "copies", classes.agg(F.sum("copies").alias("n")).first()["n"] or 0).withColumnRenamed("doc", "_m")
     sizes = docs.select(key, F.coalesce(F.length(text), F.lit(0)).alias("n_chars"))
     out = sizes.join(per_doc, sizes[key].cast("long") == per_doc["_m"], "left")
     chars = F.when(F.coalesce("copies", F.lit(1)) > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
@@ -331,5 +373,5 @@ def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
 def shared_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Maximal shared spans of each text class: ``{key}`` (the class's least), ``start_pos, end_pos``."""
     classes, _ = text_classes(docs, key, text, length)
-    spans = shared_between_classes(classes, length).filter(F.col("other").isNull())
+    spans = shared_between_classes(classes, length, pairs=False)
     return spans.select(F.col("doc").alias(key), F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos")).distinct()

@@ -20,6 +20,9 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from marlstone.session import cut
 
 DEFAULT_DIR = "/opt/tokenizers"
 #: Fixed value: how this family of vocabularies splits text into pieces before merging (public, GPT-2).
@@ -191,11 +194,8 @@ def decode(ids: list[int], name: str = "byte_bpe_50k", directory: str = DEFAULT_
 
 
 def token_totals(encoded: DataFrame) -> DataFrame:
-    """Number of documents, tokens and distinct ids of an encoded corpus."""
-    from pyspark.sql import functions as F
-
+    """Number of documents, tokens and distinct ids of an encoded corpus, which is encoded and written once."""
+    encoded = cut(encoded, "encoded")
     sizes = encoded.groupBy().agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_tokens"))
     kinds = encoded.select(F.explode("ids").alias("i")).groupBy("i").count().groupBy().agg(F.count(F.lit(1)).alias("n_ids"))
     return sizes.join(F.broadcast(kinds))  # one row each
-
-

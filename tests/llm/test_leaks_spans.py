@@ -113,6 +113,32 @@ def test_shares_equal_brute_force(spark):
         assert got[i] == (len(t or ""), int(held.sum())), i
 
 
+def test_shares_of_large_sets_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spans, "SHARD_CHARS", 1500)
+    monkeypatch.setattr(spans, "PIECE_CHARS", 600)
+    test_shares_equal_brute_force(spark)
+
+
+def test_a_banner_in_many_documents(spark):
+    rnd = random.Random(2)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    banner = make(450)
+    texts = [make(250) + "#" + banner + "#" + make(150) for _ in range(3000)]
+    got = spans.shared_share(docs(spark, texts)).toPandas()
+    assert len(got) == 3000 and got["shared_chars"].between(452, 480).all()
+
+
+def test_templates_do_not_depend_on_blocks(spark, monkeypatch):
+    names = "Anna Peter Nadia Oskar Mia Jonas".split()
+    asked = [f"Yesterday the baker {n} sold {i + 3} loaves to {names[i - 1]} and kept {i + 9} of them for the {'week' if i % 2 else 'day'}" for i, n in enumerate(names)]
+    texts = [t + " and more" for t in asked] + [asked[0].replace("Anna", "Jonas").replace("3", "88"), "nothing here", None]
+    both = [docs(spark, texts), items(spark, asked)]
+    whole = sorted(map(tuple, leaks.template_hits(*both).collect()))
+    assert any(r[3] for r in whole) and any(r[2] for r in whole)
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 25)
+    assert sorted(map(tuple, leaks.template_hits(*both).collect())) == whole
+
+
 def test_anchors_are_shared_by_any_long_stretch():
     rnd = random.Random(8)
     for _ in range(40):
