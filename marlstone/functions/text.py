@@ -39,3 +39,13 @@ def letter(i: Column) -> Column:
 def lettered(options: Column) -> Column:
     """Options as lines ``A: ...``."""
     return F.array_join(F.transform(options, lambda x, i: F.concat(F.chr(F.lit(65) + i), F.lit(": "), x)), "\n")
+
+
+def decoded(raw: Column) -> Column:
+    """Text of UTF-8 bytes; text stays as it is, broken bytes become replacement signs."""
+    return F.decode(raw.cast("binary"), "UTF-8")
+
+
+def subset_size(name: Column) -> Column:
+    """The share that a file name such as ``keywords_0.01.json`` carries, null without one."""
+    return F.regexp_extract(name, r"_(\d+(?:\.\d+)?(?:e-?\d+)?)(?:\.[A-Za-z]+)?$", 1).try_cast("double")

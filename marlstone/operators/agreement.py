@@ -18,6 +18,22 @@ def best_overlap(table: DataFrame) -> DataFrame:
     return table.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def relabelled(left: DataFrame, matches: DataFrame) -> DataFrame:
+    """``id, label, matched`` of ``id, label`` rows: the label of the other side that theirs overlaps most, null without a match."""
+    return left.join(F.broadcast(matches.select(F.col("l1").alias("label"), F.col("l2").alias("matched"))), "label", "left").select("id", "label", "matched")
+
+
+def rand_index_by(table: DataFrame, by: str) -> DataFrame:
+    """``by, ari`` of many contingency tables at once (``by, l1, l2, n``); degenerate ones give 1."""
+    pairs = lambda x: x * (x - 1) / 2
+    cells = table.groupBy(by).agg(F.sum(pairs(F.col("n"))).alias("s"), F.sum("n").alias("t"))
+    rows = table.groupBy(by, "l1").agg(F.sum("n").alias("m")).groupBy(by).agg(F.sum(pairs(F.col("m"))).alias("a"))
+    cols = table.groupBy(by, "l2").agg(F.sum("n").alias("m")).groupBy(by).agg(F.sum(pairs(F.col("m"))).alias("b"))
+    expected = F.try_divide(F.col("a") * F.col("b"), pairs(F.col("t")))
+    half = (F.col("a") + F.col("b")) / 2
+    return cells.join(rows, by).join(cols, by).select(by, F.coalesce(F.try_divide(F.col("s") - expected, half - expected), F.lit(1.0)).alias("ari"))
+
+
 def rand_index(table: DataFrame) -> DataFrame:
     """``ari`` of a contingency table; degenerate cases give 1."""
     pairs = lambda x: x * (x - 1) / 2

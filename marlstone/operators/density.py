@@ -290,6 +290,29 @@ def subclusters(df: DataFrame, key: str, cluster_col: str, vector: str, least: i
     return rows.groupBy("cluster").applyInPandas(run, f"cluster int, id {rows.schema['id'].dataType.simpleString()}, sub int")
 
 
+def grid_scores(df: DataFrame, key: str, vector: str, sizes: list[int], samples: list[int]) -> DataFrame:
+    """``least, samples, clusters, score`` of a fit on all rows for each feasible pair of parameters, one task each.
+
+    The points travel once to each executor (40 bytes each for five coordinates), the fits run side by side.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec")).filter("vec is not null and id is not null").orderBy("id").select("vec").toArrow()
+    x = np.asarray(rows["vec"].combine_chunks().flatten(), np.float64).reshape(len(rows), -1) if len(rows) else np.empty((0, 1))
+    grid = [(a, b) for a in sizes for b in samples if 2 <= a <= len(x) and b <= len(x)]
+    shared = spark.sparkContext.broadcast(x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for a, b in zip(pdf["least"], pdf["samples"]):
+                f = fit(shared.value, int(a), int(b))
+                out.append((a, b, int(f.labels.max(initial=-1)) + 1, dbcv_score(f.edges, f.labels)))
+            yield pd.DataFrame(out, columns=["least", "samples", "clusters", "score"])
+
+    pairs = spark.createDataFrame(grid, "least int, samples int").repartition(max(1, len(grid)), "least", "samples")
+    return pairs.mapInPandas(run, "least int, samples int, clusters int, score double")
+
+
 def best_parameters(x: np.ndarray, sizes: list[int], samples: list[int]) -> tuple[int, int, float]:
     """The feasible (least size, samples) whose clustering scores highest by density; the first wins ties."""
     best = (0, 0, -1.0)

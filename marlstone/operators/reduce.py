@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.sampling import exact_sample
@@ -41,6 +42,21 @@ def embed_posts(posts: DataFrame, text: str, embedder: Embedder) -> DataFrame:
     return posts.select("id", text).mapInPandas(run, "id string, embedding array<float>")
 
 
+def fit_or_load(spark: SparkSession, path: str | None, fit: Callable[[], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Arrays of a model by name: those saved under ``path`` if there are any, else fitted and saved; nothing is kept without a path."""
+    if path is not None:
+        try:
+            rows = spark.read.parquet(path).collect()  # one row for each array of the model
+            return {r["name"]: np.array(r["values"], np.float64).reshape(r["shape"]) for r in rows}
+        except AnalysisException:
+            pass
+    model = fit()
+    if path is not None:
+        rows = [(k, list(map(int, v.shape)), v.astype(float).ravel().tolist()) for k, v in model.items()]
+        spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
+    return model
+
+
 def principal_components(vectors: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
     """``id, reduced``: projections on the k leading components; moments are summed per task, one small matrix each."""
     dim_row = vectors.filter(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).first()
@@ -121,13 +137,17 @@ def reduce_by_layout(vectors: DataFrame, key: str, vector: str, dim: int = 5, ne
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, places = shared.value
+        square = (base * base).sum(1)
         for pdf in batches:
-            out = []
-            for v in pdf["vec"]:
-                d = np.sqrt(((base - np.asarray(v, np.float64)) ** 2).sum(1))
-                near = np.argsort(d, kind="stable")[:neighbours]
-                w = 1 / (d[near] + 1e-9)
-                out.append((places[near] * (w / w.sum())[:, None]).sum(0))
-            yield pd.DataFrame({"id": pdf["id"], "reduced": out})
+            x = np.array(pdf["vec"].tolist(), np.float64).reshape(len(pdf), base.shape[1])
+            out = np.empty((len(x), places.shape[1]))
+            step = max(1, 4_000_000 // max(1, len(base)))
+            for at in range(0, len(x), step):
+                part = x[at : at + step]
+                d = np.sqrt(np.maximum((part * part).sum(1)[:, None] + square - 2 * part @ base.T, 0))
+                near = np.argsort(d, axis=1, kind="stable")[:, :neighbours]
+                w = 1 / (np.take_along_axis(d, near, 1) + 1e-9)
+                out[at : at + step] = (places[near] * (w / w.sum(1, keepdims=True))[:, :, None]).sum(1)
+            yield pd.DataFrame({"id": pdf["id"], "reduced": list(out)})
 
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, reduced array<double>")

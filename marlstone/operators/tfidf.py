@@ -75,3 +75,40 @@ def npmi(words: DataFrame, texts: DataFrame, group: str) -> DataFrame:
     p = F.col("xy") / F.col("n")
     value = F.when(F.col("xy").isNull(), -1.0).when(F.col("xy") == F.col("n"), 1.0).otherwise(F.log(p * F.col("n") / F.col("cx") * F.col("n") / F.col("cy")) / -F.log(p))
     return rows.groupBy(group).agg(F.avg(value).alias("coherence"))
+
+
+def cv_coherence(words: DataFrame, texts: DataFrame, group: str, window: int = 110) -> DataFrame:
+    """``group, coherence``: c_v of Röder et al. (2015) of ranked words, over sliding windows of the texts.
+
+    Words meet in a window of ``window`` terms (a shorter text is one window). Each word's vector holds its NPMI with every word of
+    the group, itself included (1); coherence is the mean cosine between a word's vector and the sum of all. Windows are
+    counted as the places where a pair is within reach, so none is written out: only places of wanted words are joined, within one text.
+    """
+    wanted = words.select(group, "term").distinct()
+    split = texts.select("id", terms(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    span = F.greatest(F.size("w") - window + 1, F.lit(1))
+    total = split.agg(F.sum(span).alias("n"))
+    placed = split.select("id", span.alias("spans"), F.posexplode("w").alias("at", "term")).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    # The windows that hold a place are a run of numbers; runs of one term in a text are merged before they are counted.
+    runs = placed.select("id", "term", F.greatest(F.col("at") - window + 1, F.lit(0)).alias("a"), F.least("at", F.col("spans") - 1).alias("b"))
+    order = Window.partitionBy("id", "term").orderBy("a", "b")
+    upto = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("a") > upto + 1, F.lit(True)).cast("int")
+    merged = runs.withColumn("new", fresh).withColumn("run", F.sum("new").over(order)).groupBy("id", "term", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
+    single = merged.groupBy("term").agg(F.sum(F.col("b") - F.col("a") + 1).alias("c"))
+    left, right = (wanted.select(group, F.col("term").alias(x)) for x in "xy")
+    pairs = left.join(right, group)
+    asked = pairs.filter("x < y").select("x", "y").distinct()
+    one = merged.select("id", F.col("term").alias("x"), F.col("a").alias("xa"), F.col("b").alias("xb"))
+    two = merged.select("id", F.col("term").alias("y"), F.col("a").alias("ya"), F.col("b").alias("yb"))
+    common = F.least("xb", "yb") - F.greatest("xa", "ya") + 1
+    met = one.join(F.broadcast(asked), "x").join(two, ["id", "y"]).withColumn("k", common).filter("k > 0").groupBy("x", "y").agg(F.sum("k").alias("xy"))
+    met = met.unionByName(met.select(F.col("y").alias("x"), F.col("x").alias("y"), "xy"))
+    rows = pairs.join(met, ["x", "y"], "left").join(single.select(F.col("term").alias("x"), F.col("c").alias("cx")), "x", "left").join(single.select(F.col("term").alias("y"), F.col("c").alias("cy")), "y", "left").join(F.broadcast(total))
+    tiny = F.lit(1e-12)
+    p = F.coalesce(F.col("xy"), F.lit(0)) / F.col("n") + tiny
+    npmi_ = F.when(F.col("x") == F.col("y"), 1.0).when(F.col("cx").isNull() | F.col("cy").isNull(), 0.0).otherwise(F.try_divide(F.log(p / (F.col("cx") / F.col("n") * F.col("cy") / F.col("n"))), -F.log(p)))
+    cells = rows.select(group, "x", "y", F.coalesce(npmi_, F.lit(0.0)).alias("v"))
+    whole = cells.groupBy(group, "y").agg(F.sum("v").alias("s"))
+    dots = cells.join(whole, [group, "y"]).groupBy(group, "x").agg(F.sum(F.col("v") * F.col("s")).alias("d"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("lv"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("ls"))
+    return dots.groupBy(group).agg(F.avg(F.coalesce(F.try_divide(F.col("d"), F.col("lv") * F.col("ls")), F.lit(0.0))).alias("coherence"))

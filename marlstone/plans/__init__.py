@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_registries() -> list:
-    from marlstone.plans import posts, records, topics
+    from marlstone.plans import pipeline, posts, records, topics
 
-    return [records.registry, posts.registry, topics.registry]
+    return [records.registry, posts.registry, topics.registry, pipeline.registry]

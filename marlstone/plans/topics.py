@@ -101,7 +101,7 @@ def topic_diversity_distinct_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add(
     "npmi_coherence",
-    f"""{_TOP_SQL}, w AS (SELECT cluster, term FROM top WHERE rank <= 8), dt AS (SELECT DISTINCT id, unnest(w) AS term FROM docs),
+    f"""{_TOP_SQL}, w AS (SELECT cluster, term FROM top WHERE rank <= {C.top_words}), dt AS (SELECT DISTINCT id, unnest(w) AS term FROM docs),
     m AS (SELECT count(DISTINCT id) AS n FROM docs), one AS (SELECT term, count(*) AS c FROM dt WHERE term IN (SELECT term FROM w) GROUP BY term),
     p AS (SELECT a.cluster, a.term AS x, b.term AS y FROM w a JOIN w b ON a.cluster = b.cluster AND a.term < b.term),
     q AS (SELECT x, y, count(*) AS xy FROM (SELECT DISTINCT x, y FROM p) p JOIN dt a ON a.term = x JOIN dt b ON b.term = y AND a.id = b.id GROUP BY x, y)
@@ -109,8 +109,8 @@ def topic_diversity_distinct_ratio(spark: SparkSession, d: str) -> DataFrame:
     FROM p LEFT JOIN q USING (x, y) LEFT JOIN one ox ON ox.term = x LEFT JOIN one oy ON oy.term = y, m GROUP BY cluster""",
 )
 def npmi_coherence(spark: SparkSession, d: str) -> DataFrame:
-    words = cut(_top(spark, d).filter("rank <= 8").select("cluster", "term"), "words")
-    texts = _docs(spark, d).select("id", "text").distinct()
+    words = cut(_top(spark, d).select("cluster", "term"), "words")
+    texts = cut(_docs(spark, d).select("id", "text").distinct(), "texts")
     return tfidf.npmi(words, texts, "cluster").withColumn("coherence", F.round("coherence", 6))
 
 
@@ -152,14 +152,14 @@ def cluster_count_with_without_noise(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add(
     "subcluster_relabel_offset",
-    """WITH raw AS (SELECT DISTINCT clusters AS cluster, CASE WHEN row_no % 7 = 0 THEN -1 ELSE row_no % (2 + clusters % 3) END AS sub FROM reddit_data WHERE clusters >= 0),
+    """WITH raw AS (SELECT DISTINCT clusters AS cluster, subclusters AS sub FROM reddit_data WHERE clusters >= 0 AND subclusters IS NOT NULL),
     k AS (SELECT cluster, max(sub) + 1 AS k FROM raw WHERE sub >= 0 GROUP BY cluster),
     o AS (SELECT cluster, coalesce(sum(k) OVER (ORDER BY cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM k)
     SELECT raw.cluster, sub, CAST(CASE WHEN sub < 0 THEN -1 ELSE sub + o END AS BIGINT) AS label FROM raw LEFT JOIN o ON raw.cluster = o.cluster""",
 )
 def subcluster_relabel_offset(spark: SparkSession, d: str) -> DataFrame:
-    sub = F.when(F.col("row_no") % 7 == 0, -1).otherwise(F.col("row_no") % (2 + F.col("clusters") % 3))
-    return agreement.relabel_subclusters(table(spark, d, "reddit_data").filter("clusters >= 0").select(F.col("clusters").alias("cluster"), sub.alias("sub")))
+    rows = table(spark, d, "reddit_data").filter("clusters >= 0 and subclusters is not null")
+    return agreement.relabel_subclusters(rows.select(F.col("clusters").alias("cluster"), F.col("subclusters").alias("sub")))
 
 
 _EDGE_SQL = """pts AS (SELECT row_no, coalesce(clusters, -1) AS label, coalesce(CAST(dimensional_reduction[1] AS DOUBLE), 0) AS x FROM reddit_data),
@@ -177,6 +177,7 @@ _EDGE_SQL = """pts AS (SELECT row_no, coalesce(clusters, -1) AS label, coalesce(
     SELECT round(sum(size * ((sep - dsc) / greatest(sep, dsc)) / total * (total - noise) / total), 6) AS score FROM r""",
 )
 def mst_dbcv_from_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The score's formula on given edges: a chain along one coordinate, which SQL can build; ``hdbscan_dbcv`` scores real trees."""
     pts = table(spark, d, "reddit_data").select(F.col("row_no").alias("id"), F.coalesce("clusters", F.lit(-1)).alias("label"), F.coalesce(F.col("dimensional_reduction")[0].cast("double"), F.lit(0.0)).alias("x"))
     after = pts.select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.col("x").alias("y"))
     edges = pts.select(F.col("id").alias("a"), "x").join(after, "a").select("a", "b", F.abs(F.col("x") - F.col("y")).alias("distance"))
@@ -265,6 +266,18 @@ def hdbscan_partial_predict(spark: SparkSession, d: str) -> DataFrame:
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@registry.add("hdbscan_grid")
+def hdbscan_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters and density validity of a fit on all rows for each pair of parameters."""
+    return density.grid_scores(table(spark, d, "reddit_data"), "row_no", "dimensional_reduction", [C.min_cluster_size, 2 * C.min_cluster_size], [C.min_samples, 2 * C.min_samples])
+
+
+@registry.add("hdbscan_dbcv")
+def hdbscan_dbcv(spark: SparkSession, d: str) -> DataFrame:
+    """The best pair of parameters by density validity on the spanning tree; ties go to the smaller values."""
+    return hdbscan_grid(spark, d).groupBy().agg(F.min_by(F.struct("least", "samples", "clusters", "score"), F.struct(-F.col("score"), "least", "samples")).alias("b")).select("b.*")
+
+
 @registry.add("subclusters_per_cluster")
 def subclusters_per_cluster(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "reddit_data")
@@ -315,7 +328,10 @@ def quiz_accuracy_stub(spark: SparkSession, d: str) -> DataFrame:
     return naming.accuracy(naming.solve_quiz(_quiz(spark, d), texts, naming.OverlapSolver()))
 
 
-@registry.add("name_topics")
+_LISTS_SQL = f"{_TOP_SQL}, lists AS (SELECT cluster, list(term ORDER BY rank) AS words FROM top WHERE rank <= {C.top_words} AND cluster <> -1 GROUP BY cluster)"
+
+
+@registry.add("name_topics", f"{_LISTS_SQL} SELECT cluster, words, trim(array_to_string(words[1:2], ' ')) AS topic FROM lists")
 def name_topics(spark: SparkSession, d: str) -> DataFrame:
     return naming.name_topics(_top(spark, d), naming.TopWordNamer())
 
@@ -359,14 +375,13 @@ def monthly_topic_counts(spark: SparkSession, d: str) -> DataFrame:
     return _named(spark, d).groupBy("topic", month(F.col("created_utc")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_MEAN_SQL = """m AS (SELECT date_trunc('month', o_orderdate) AS month, avg(o_totalprice) AS mean FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 50 = 0 GROUP BY 1),
+_MEAN_SQL = """m AS (SELECT date_trunc('month', o_orderdate) AS month, avg(o_totalprice) AS mean FROM orders GROUP BY 1),
     g AS (SELECT unnest(generate_series((SELECT min(month) FROM m), (SELECT max(month) FROM m), INTERVAL 1 MONTH)) AS month),
     mm AS (SELECT strftime(g.month, '%Y-%m') AS month, round(mean, 4) AS mean FROM g LEFT JOIN m ON g.month = m.month)"""
 
 
 def _means(spark: SparkSession, d: str) -> DataFrame:
-    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_custkey % 50 = 0")
-    return reports.monthly_mean(urgent, F.col("o_orderdate"), "o_totalprice")
+    return reports.monthly_mean(table(spark, d, "orders"), F.col("o_orderdate"), "o_totalprice")
 
 
 @registry.add("monthly_mean_gapfilled", f"WITH {_MEAN_SQL} SELECT month, mean FROM mm")

@@ -96,6 +96,17 @@ def statistics(lines: DataFrame, line: str, file_name: str) -> DataFrame:
     return rows.select(F.length(F.concat(string("title"), body)).alias("length"), number("score").alias("score"), number("num_comments").alias("num_comments"), has_media.alias("has_media"), when[0].try_cast("int").alias("year"), when[1].try_cast("int").alias("month"))
 
 
+def sampled_statistics(lines: DataFrame, line: str, file_name: str, share: float, files: int | None = None, seed: str = "42") -> DataFrame:
+    """``statistics`` of a Bernoulli sample of the lines, of the first ``files`` files by name if a number is given.
+
+    Sampling is the operator's purpose; a line is in or out by a hash of its file, its text and the seed, so that a run can be repeated.
+    """
+    if files is not None:
+        lines = lines.join(F.broadcast(lines.select(file_name).distinct().orderBy(file_name).limit(files)), file_name, "left_semi")
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(file_name), F.col(line)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return statistics(lines.filter(place < share), line, file_name)
+
+
 def unfinished_jobs(spark: SparkSession, path: str, done: str = "Finished converting") -> DataFrame:
     """``file`` of job logs without the closing message: the base name in the ninth word of the second line."""
     logs = spark.read.text(path, wholetext=True).filter(~F.col("value").contains(done))

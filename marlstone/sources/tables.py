@@ -52,3 +52,34 @@ def sample_table(df: DataFrame, key: str, fraction: float, seed: str = "42") ->
     """About a fraction of the keys, with all their rows: the same keys in every table that has them."""
     bucket = F.conv(F.substring(order_key(seed, F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
     return df.filter(bucket < fraction)
+
+
+def archive_files(spark: SparkSession, folder: str, prefix: str = "RS", limit: int | None = None) -> DataFrame:
+    """``path, name, bytes`` of the archive files of a folder in name order, names without extension; the first ``limit`` if one is given.
+
+    Only the listing is read, never a file. An empty folder gives no row.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*").load(folder).select("path", F.col("length").alias("bytes"))
+    base = F.element_at(F.split("path", "/"), -1)
+    named = files.select("path", F.regexp_replace(base, r"\.[^.]*$", "").alias("name"), "bytes").orderBy("name", "path")
+    return named if limit is None else named.limit(limit)
+
+
+def read_word_lists(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
+    """``key, rank, term`` of a JSON dictionary from keys to word lists; ``nested`` ones (key to key to list) have ``subkey`` too.
+
+    Text that is no such dictionary, and null lists, give no row.
+    """
+    kind = "map<string,map<string,array<string>>>" if nested else "map<string,array<string>>"
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("d")).filter("d is not null")
+    rows = whole.select(F.explode("d").alias("key", "v"))
+    if nested:
+        rows = rows.select("key", F.explode("v").alias("subkey", "v"))
+    ranked = rows.select(*[c for c in rows.columns if c != "v"], F.posexplode("v").alias("rank", "term"))
+    return ranked.withColumn("rank", F.col("rank") + 1)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV export with header; quoted line breaks are part of their field. Types come from ``schema``, else from the data."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
