@@ -115,13 +115,25 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- 10: shared spans
 
 
-@registry.add("p10_found")
+#: Hashes of all windows of 400 characters, as SQL.
+_SPANS_SQL = """WITH w AS (SELECT doc_id, k, md5(substr(text, k, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS k FROM documents WHERE length(text) >= 400))"""
+
+
+@registry.add("p10_found", f"{_SPANS_SQL}, g AS (SELECT DISTINCT doc_id, h FROM w) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with a stretch of 400 characters in common."""
     return spans.shared_pairs(table(spark, d, "documents"))
 
 
-@registry.add("p10_shares")
+@registry.add(
+    "p10_shares",
+    f"""{_SPANS_SQL}, held AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    places AS (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS nxt FROM (SELECT DISTINCT doc_id, k FROM w JOIN held USING (h))),
+    s AS (SELECT doc_id, sum(least(400, coalesce(nxt - k, 400))) AS chars FROM places GROUP BY doc_id),
+    c AS (SELECT text, count(DISTINCT doc_id) AS copies FROM documents WHERE length(text) >= 400 GROUP BY text),
+    r AS (SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(s.chars, 0) AS shared_chars, coalesce(c.copies, 1) AS copies FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN c ON d.text = c.text)
+    SELECT doc_id, n_chars, shared_chars, round(CASE WHEN n_chars > 0 THEN shared_chars / n_chars ELSE 0 END, 6) AS share, copies FROM r""",
+)
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     """Share of each document's text that occurs in other documents too."""
     return spans.shared_share(table(spark, d, "documents"))
