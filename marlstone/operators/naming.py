@@ -74,15 +74,18 @@ def name_subtopics(words: DataFrame, model: TextModel, key: str = "cluster", sub
     return asked.select(key, sub, "words", parsed_topic(F.col("answer")).alias("topic"))
 
 
-def quiz_questions(labelled: DataFrame, titles: DataFrame, size: int, runs: int, seed: str = DEFAULT.seed) -> DataFrame:
+def quiz_questions(labelled: DataFrame, titles: DataFrame, size: int, runs: int, seed: str = DEFAULT.seed, strict: bool = True) -> DataFrame:
     """``run, id, cluster``: ``size`` posts with a non-empty title for each run, the first by that run's hash.
 
-    Each task keeps its first ``size`` posts of every run, so no run is sorted whole. Fewer usable posts than ``size`` are an error.
+    Each task keeps its first ``size`` posts of every run, so no run is sorted whole. Fewer usable posts
+    than ``size`` are an error; where not ``strict``, all of them are asked then.
     """
     usable = labelled.filter(F.col("cluster") != -1).select("id", "cluster").distinct().join(titles.filter(F.length("title") > 0).select("id").distinct(), "id", "left_semi")
     order = [order_key(seed, F.col("run").cast("string"), F.col("id")), F.col("id"), F.col("cluster")]
     numbered = usable.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "id", "cluster")
     picked = numbered.withColumn("_r", F.row_number().over(Window.partitionBy("run").orderBy(*order))).filter(F.col("_r") <= size).drop("_r")
+    if not strict:
+        return picked
     few = picked.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < size)
     if picked.isEmpty() or not few.isEmpty():
         raise ValueError(f"fewer than {size} labelled posts with a title")
