@@ -179,3 +179,34 @@ def test_months_without_rows_are_there(spark):
     rows = spark.sql("select * from values (timestamp'2020-11-05', 4.0D), (timestamp'2020-11-30', 8.0D), (timestamp'2021-02-01', 3.0D), (null, 9.0D) t(at, v)")
     got = reports.monthly_mean(rows, F.col("at"), "v").collect()
     assert {r["month"]: r["mean"] for r in got} == {"2020-11": 6.0, "2020-12": None, "2021-01": None, "2021-02": 3.0}
+
+
+def test_fit_measures_few_distances(monkeypatch):
+    x = np.random.default_rng(6).uniform(size=(20_000, 5))
+    seen = []
+    for name in ("_distances", "_lengths"):
+        if f := getattr(density, name, None):
+            monkeypatch.setattr(density, name, lambda a, b, f=f: seen.append((d := f(a, b)).size) or d)
+    density.fit(x, 10, 5)
+    assert sum(seen) < 1_500 * len(x)
+
+
+def test_ties_leave_labels_and_score_alone():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(-3, 4, (150, 2)) + 30 * k for k in range(3)] + [rng.integers(-40, 100, (60, 2))]).astype(float)
+    want = density.fit(x, 10, 5)
+    assert len(set(want.labels)) >= 4
+    for seed in range(5):
+        order = np.random.default_rng(seed).permutation(len(x))
+        got = density.fit(x[order], 10, 5)
+        assert set(zip(got.labels, want.labels[order])) == {(a, b) for a, b in zip(got.labels, want.labels[order])} and len(set(zip(got.labels, want.labels[order]))) == len(set(want.labels))
+
+
+def test_copies_and_strays_are_searched_in_full():
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.repeat(rng.normal(size=(40, 5)), 50, axis=0), rng.normal(size=(300, 5)) * 1e-4 + 1e4, [[1e8] * 5, [-1e8, 0, 0, 0, 0]]])
+    d = np.sort(np.linalg.norm(x[:, None] - x[None], axis=2), axis=1)
+    boxes = density.Boxes(x)
+    far, near = density._lists(boxes, 60)
+    assert np.allclose(far, d[boxes.order, :60], rtol=1e-12, atol=0)
+    assert np.allclose(far, np.linalg.norm(boxes.points[:, None] - boxes.points[near], axis=2), rtol=1e-12, atol=0)
