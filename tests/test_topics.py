@@ -210,3 +210,13 @@ def test_copies_and_strays_are_searched_in_full():
     far, near = density._lists(boxes, 60)
     assert np.allclose(far, d[boxes.order, :60], rtol=1e-12, atol=0)
     assert np.allclose(far, np.linalg.norm(boxes.points[:, None] - boxes.points[near], axis=2), rtol=1e-12, atol=0)
+
+
+def test_each_setting_gets_all_exact_neighbours(spark, blobs):
+    x = np.concatenate([blobs[0], np.round(blobs[0])])
+    boxes = density.Boxes(x)
+    got = density._fitted(spark.sparkContext.broadcast(boxes), 16, 3, spark.range(1)).toPandas()
+    d = np.sort(np.linalg.norm(x[:, None] - x[None], axis=2), axis=1)[boxes.order, :16]
+    for task in range(3):
+        own = got[got["task"] == task].sort_values("at")
+        assert own["at"].tolist() == list(range(len(x))) and np.allclose([np.frombuffer(v) for v in own["far"]], d)
