@@ -220,3 +220,14 @@ def test_each_setting_gets_all_exact_neighbours(spark, blobs):
     for task in range(3):
         own = got[got["task"] == task].sort_values("at")
         assert own["at"].tolist() == list(range(len(x))) and np.allclose([np.frombuffer(v) for v in own["far"]], d)
+
+
+def test_clusters_of_all_rows_are_not_fitted_on_the_driver(spark, blobs, monkeypatch):
+    x, _ = blobs
+    want = density.fit(x, 10, 5).labels
+    monkeypatch.setattr(density, "fit", lambda *_: pytest.fail("fitted on the driver"))
+    for name, kind in ((int, "long"), ("{:04}".format, "string")):
+        df = spark.createDataFrame([(name(i), v.tolist()) for i, v in enumerate(x)][::-1] + [(name(999), None)], f"id {kind}, v array<float>" if kind == "string" else "id long, v array<double>")
+        got = density.cluster(df, "id", "v", 10, 5).orderBy("id").toPandas()
+        assert got["id"].tolist() == [name(i) for i in range(len(x))] and got["label"].tolist() == want.tolist()
+    assert density.cluster(df.limit(1), "id", "v").count() <= 1
