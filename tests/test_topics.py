@@ -231,3 +231,26 @@ def test_clusters_of_all_rows_are_not_fitted_on_the_driver(spark, blobs, monkeyp
         got = density.cluster(df, "id", "v", 10, 5).orderBy("id").toPandas()
         assert got["id"].tolist() == [name(i) for i in range(len(x))] and got["label"].tolist() == want.tolist()
     assert density.cluster(df.limit(1), "id", "v").count() <= 1
+
+
+def test_trees_of_copies_are_exact_and_search_many_boxes_at_once(monkeypatch):
+    rng = np.random.default_rng(10)
+    for spots, shift in ((40, 1e-3), (40, 0.0), (300, 1e-3)):
+        x = np.concatenate([np.repeat(rng.normal(size=(spots, 5)), 67, axis=0), rng.normal(size=(300, 5)) * 3])
+        x += rng.normal(size=x.shape) * shift
+        boxes = density.Boxes(x)
+        far, near = density._lists(boxes, 16)
+        core, seen, gaps = far[:, 5], [], density._gaps
+        with monkeypatch.context() as m:
+            m.setattr(density, "_gaps", lambda *a, gaps=gaps, seen=seen: seen.append(1) or gaps(*a))
+            edges = density._tree(boxes, core, far, near)
+        assert len(seen) < 1_000
+        if spots == 40:
+            p, best, here, want = boxes.points, np.full(len(x), np.inf), 0, []
+            out = np.ones(len(x), bool)
+            for _ in range(len(x) - 1):
+                out[here] = False
+                best = np.minimum(best, np.maximum(np.maximum(np.linalg.norm(p - p[here], axis=1), core), core[here]))
+                here = int(np.where(out, best, np.inf).argmin())
+                want.append(best[here])
+            assert np.allclose(edges[:, 2], np.sort(want), rtol=1e-12)
