@@ -96,6 +96,11 @@ LOOSE_ADDRESS = re.compile(
 NUMBERED_NAME = re.compile(rf"{_EDGE}\d{{1,5}}[A-Za-z]? {_CAP}(?: {_CAP}){{0,2}}(?=[,\n.])")
 #: Stretches without any of these hold no address of a known form.
 _STREET_HINT = re.compile("|".join(re.escape(x) for x in sorted({x.lower() for x in [*STREETS, *STREET_ENDS, *STREETS_BEFORE, *STREETS_FRENCH, *BOXES]}, key=len, reverse=True)))
+#: Stretches hold no address either without one of: a street between a blank and a word's end, a form before the
+#: name with its blank, or the end of a street right before a number.
+_STREET_WORD = re.compile(rf" (?:(?:{_STREET.lower()})(?!\w)|(?:{'|'.join(STREETS_FRENCH)}) )")
+_STREET_BEFORE = tuple(f"{x.lower()} " for x in [*STREETS_BEFORE, *BOXES])
+_STREET_END = tuple(STREET_ENDS)
 #: Texts without this hold no name of two words.
 _NAME_HINT = re.compile(rf"[{_U}][\w.'’\-]*,? (?:(?:{'|'.join(PARTICLES)}) )*[{_U}]")
 #: What may follow a street: a unit, and a town with its code.
@@ -165,9 +170,20 @@ def _name_parts(text: str) -> tuple[str, str]:
     return ("" if given.endswith(".") else given.lower()), family.lower()
 
 
-_DIGITS = re.compile(r"\d+")
+_DIGITS, _ASCII_DIGITS = re.compile(r"\d+"), re.compile("[0-9]+")
 #: Letters that match others without case; a dotted capital I in small letters is an i and a mark.
 _FOLD = str.maketrans({"ı": "i", "İ": "i", "ſ": "s", "K": "k", "\u0307": None})
+_FOLDED = ("ı", "İ", "ſ", "\u0307")
+
+
+def _folds(text: str) -> bool:
+    """Whether a text in any case has letters that ``_FOLD`` changes once it is in small letters."""
+    if text.isascii():
+        return False
+    for x in _FOLDED:
+        if x in text:
+            return True
+    return False
 
 
 def may_have_email(text: str, low: str) -> bool:
@@ -177,7 +193,7 @@ def may_have_email(text: str, low: str) -> bool:
 
 def may_be_spoken(low: str, digits: int) -> bool:
     """Whether a number in words is possible: it has seven digits or digit words. ``digits`` counts the text's digits."""
-    if not low.isascii():
+    if _folds(low):
         low = low.translate(_FOLD)
     n = digits
     for w in DIGIT_WORDS:
@@ -211,6 +227,20 @@ def near_numbers(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
+def may_have_street(low: str, runs: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether an address is possible in this stretch of a text in small letters, which has no letters that ``_FOLD`` changes."""
+    part = low[a:b]
+    if _STREET_WORD.search(part):
+        return True
+    for x in _STREET_BEFORE:
+        if x in part:
+            return True
+    for start, _ in runs:
+        if a < start < b and low.endswith(_STREET_END, a, start - 1 if low[start - 1] == " " else start):
+            return True
+    return False
+
+
 def numbers(text: str, runs: list[tuple[int, int]]) -> Iterator[re.Match]:
     """All matches of ``NUMBER``, looked for only where one can start: at most four signs before a run of digits."""
     at = 0
@@ -272,11 +302,14 @@ def candidates(text: str) -> list[tuple]:
         for m in LOOSE_EMAIL.finditer(text):
             if free(*m.span()):
                 put(*m.span(), "mail", False)
-    runs = [m.span() for m in _DIGITS.finditer(text)]
+    runs = [m.span() for m in (_ASCII_DIGITS if text.isascii() else _DIGITS).finditer(text)]
     streets = []
     if runs:
         places = near_numbers(text, runs)
-        streets = [(a, b) for a, b in places if _STREET_HINT.search(text[a:b].lower().translate(_FOLD))]
+        if _folds(text):
+            streets = [(a, b) for a, b in places if _STREET_HINT.search(text[a:b].lower().translate(_FOLD))]
+        else:
+            streets = [(a, b) for a, b in places if may_have_street(low, runs, a, b)]
         for m in (m for a, b in streets for m in ADDRESS.finditer(text, a, b)):
             if free(*m.span()):
                 put(*m.span(), "address", True)
@@ -448,20 +481,25 @@ def find_learned_names(posts: DataFrame, given: DataFrame) -> DataFrame:
     """
     word = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
     after = re.compile(rf" (?:(?:{'|'.join(PARTICLES)}) |[^\W\d_]\.? )?({word})(?![\w@.]*@)", re.I)
-    split = re.compile(word)
+    split, parts, small = re.compile(word), re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
     out: DataFrame | None = None
     for known in _name_blocks(given):
         shared = posts.sparkSession.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names = shared.value
+            # Most texts have no first part of a name, which is quicker to see than whole words.
+            first = {m[0] for x in names if (m := parts.search(x))}
             for batch in batches:
                 rows = []
                 for key, title, body in zip(batch["id"], batch["title"], batch["selftext"]):
                     for field, text in (("title", title), ("selftext", body)):
-                        if not text or names.isdisjoint(split.findall(text.lower())):
+                        if not text:
+                            continue
+                        low = text.lower()
+                        if first.isdisjoint((small if low.isascii() else parts).findall(low)) or names.isdisjoint(split.findall(low)):
                             continue
-                        mail = [m.span() for m in EMAIL.finditer(text)] if may_have_email(text, text.lower()) else []
+                        mail = [m.span() for m in EMAIL.finditer(text)] if may_have_email(text, low) else []
                         for m in split.finditer(text):
                             if m[0].lower() in names and not (m[0][0].isupper() and m[0][1:].islower()):
                                 n = after.match(text, m.end())

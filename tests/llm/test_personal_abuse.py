@@ -84,6 +84,39 @@ def test_prefilters_lose_nothing():
         assert personal._NAME_HINT.search(text) or not any(rx.search(text) for rx in (personal.TITLED, personal.FULL, personal.REVERSED)), text
 
 
+def test_street_words_lose_no_address():
+    rnd = random.Random(12)
+    places = [x for y in (personal.STREETS, personal.STREET_ENDS, personal.STREETS_BEFORE, personal.STREETS_FRENCH, personal.BOXES) for x in y]
+    for _ in range(6000):
+        words = [rnd.choice([rnd.choice(WORDS), rnd.choice(places), rnd.choice(places).upper(), "Haupt" + rnd.choice(personal.STREET_ENDS), "Ada", "Löwen", str(rnd.randint(1, 99999))]) for _ in range(rnd.randint(2, 25))]
+        text = "".join(w + rnd.choice([" "] * 8 + [", ", "", "\n", "-"]) for w in words)
+        if personal._folds(text):
+            continue
+        runs = [m.span() for m in personal._DIGITS.finditer(text)]
+        near = personal.near_numbers(text, runs)
+        hinted = [x for x in near if personal.may_have_street(text.lower(), runs, *x)]
+        for rx in (personal.ADDRESS, personal.LOOSE_ADDRESS):
+            assert [m.span() for x in hinted for m in rx.finditer(text, *x)] == [m.span() for m in rx.finditer(text)], text
+
+
+def test_addresses_are_not_tried_where_no_street_is(monkeypatch):
+    tried = []
+
+    class Spy:
+        def __init__(self, rx):
+            self.rx = rx
+
+        def finditer(self, text, a, b):
+            tried.append(text[a:b])
+            return self.rx.finditer(text, a, b)
+
+    for name in ("ADDRESS", "LOOSE_ADDRESS"):
+        monkeypatch.setattr(personal, name, Spy(getattr(personal, name)))
+    assert not personal.candidates("just watched 3 of the best first drafts, placed 20 days away from closing")
+    assert not tried
+    assert {c[2] for c in personal.candidates("just watched 3 drafts at 20 Abbey Road today")} == {"address"} and tried
+
+
 def test_seeds_and_emails_are_scored_in_the_graph(spark, monkeypatch):
     rows = [(f"write me at once: jo{i}@mail.example please", None) for i in range(40)] + [("write me at once: ann at mail.example please", "look at news.example for more")]
     got = personal.personal_spans(posts(spark, rows)).toPandas()
